@@ -8,6 +8,7 @@ changes A-Z only, so both are used on UTF-8 bytes throughout.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -33,12 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_WRITTEN: dict[int, str] = {}
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
+    """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
+
+    Shuffle files of finished steps go once the JVM has collected their handles, so it is asked to.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[id(out)] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``materialise`` wrote and that nothing reads any more."""
+    path = _WRITTEN.pop(id(df), None)
+    if path:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def id_bucket(doc_id: Column, n: int) -> Column:

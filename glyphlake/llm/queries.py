@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing
+from . import langid, media, mixing, phrases, suffix
 from .common import table
 
 
@@ -22,8 +22,16 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_media": op4_media, "op7_langid": op7_langid}
+    return {"op1_mixing": op1_mixing, "op4_media": op4_media, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
