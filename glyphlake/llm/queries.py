@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, phrases, suffix
+from . import jaccard, langid, media, mixing, phrases, suffix
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_media": op4_media, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases}
+    return {"op1_mixing": op1_mixing, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
