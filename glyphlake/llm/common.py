@@ -86,6 +86,8 @@ def byte_buffer(texts) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCT = _SPACE.copy()
+_PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -98,15 +100,17 @@ def powers(base: int | np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, the n+1 word bounds of the texts, and each word's byte start and end."""
+def word_hashes(texts, lower: bool = False, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, the n+1 word bounds of the texts, and each word's byte start and end.
+
+    bare: ASCII punctuation parts words, too."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if lower:
         buf = _LOWER[buf]
     edges = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(b) + 1 for b in raw], out=edges[1:])
-    space = _SPACE[buf]
+    space = (_PUNCT if bare else _SPACE)[buf]
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(buf) else np.zeros(0, np.int64)
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]])) if len(buf) else starts
     bounds = np.searchsorted(starts, edges)

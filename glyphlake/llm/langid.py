@@ -119,7 +119,8 @@ def learn(docs: DataFrame, per_lang: int = 200) -> tuple[list[str], np.ndarray]:
             v = unit(v)
             for lang in pdf["lang"].unique():
                 sums[lang] = sums.get(lang, 0) + v[(pdf["lang"] == lang).to_numpy() & some].sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
     parts = sample(docs, per_lang).mapInPandas(run, "lang string, v array<double>")
     total = parts.select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum(F.round("col", 6)).alias("x"))

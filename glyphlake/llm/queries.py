@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, media, mixing, phrases, suffix
+from . import decontam, jaccard, langid, media, mixing, phrases, quality, suffix
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -35,7 +43,7 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases}
+    return {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op6_decontam": op6_decontam, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
