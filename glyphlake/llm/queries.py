@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, media, mixing, phrases, quality, suffix
+from . import decontam, jaccard, langid, lm, media, mixing, phrases, quality, suffix
 from .common import table
 
 
@@ -42,8 +42,12 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op6_decontam": op6_decontam, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases}
+    return {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op6_decontam": op6_decontam, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:
