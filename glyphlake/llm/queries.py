@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, lm, media, mixing, phrases, quality, suffix
+from . import decontam, jaccard, langid, lm, media, mixing, phrases, quality, suffix, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op6_decontam": op6_decontam, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases, "op10_lm": op10_lm}
+    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op6_decontam": op6_decontam, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases, "op10_lm": op10_lm}
 
 
 def oracle_sql() -> dict[str, str]:
