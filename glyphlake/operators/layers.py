@@ -224,10 +224,10 @@ def render_plan(objects: DataFrame, mode: str = "full", may_disable: Column | No
         F.concat("id", F.lit("-r"), "run_no").alias("node"),
         kind.alias("type"),
         F.coalesce("run.text", "text").alias("label"),
-        b["x"].alias("left"),
-        b["y"].alias("top"),
-        b["w"].alias("width"),
-        b["h"].alias("height"),
+        b["x"].alias("x"),
+        b["y"].alias("y"),
+        b["w"].alias("w"),
+        b["h"].alias("h"),
         size.alias("font_size"),
         F.when(act, "button").otherwise("text").alias("role"),
         F.when(act, T.action_uri(kind, F.col("text"))).alias("action"),

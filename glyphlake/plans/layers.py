@@ -162,7 +162,7 @@ def t1_payload_select(spark, d):
 
 @query(f"""{_BANDS}, g AS (SELECT *, CASE WHEN type IN ('phone', 'url', 'text') THEN type ELSE 'text' END AS kind, CASE WHEN pos % 2 = 0 THEN (8 + pos % 9)::DOUBLE END AS size FROM r WHERE coalesce(selectable, true)),
 a AS (SELECT *, kind IN ('phone', 'url') AND coalesce(intent, 'actionable') <> 'readonly' AND image_id % 2 = 0 AS act FROM g)
-SELECT image_id, ord, id || '-r0' AS "node", kind AS "type", md5(text) AS "label", x AS "left", y AS "top", w AS "width", h AS "height",
+SELECT image_id, ord, id || '-r0' AS "node", kind AS "type", md5(text) AS "label", x, y, w, h,
   CASE WHEN size IS NOT NULL THEN printf('%.3f%%', floor(size * 1.333::DOUBLE / 480 * 100 * 1000 + 0.5) / 1000) ELSE printf('%.4f%%', h) END AS font_size,
   CASE WHEN act THEN 'button' ELSE 'text' END AS "role", CASE WHEN act THEN CASE kind WHEN 'phone' THEN 'tel:' || regexp_replace(text, '[^+0-9]', '', 'g') ELSE text END END AS "action",
   CASE WHEN act THEN CASE kind WHEN 'phone' THEN 'Call' ELSE 'Open' END END AS "verb" FROM a""")
