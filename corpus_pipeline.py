@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: null text, or no letter in it."""
     langs, protos = langid.learn(docs)
-    return langid.predict(docs, langs, protos, docs.columns).where(F.col("lang_pred") != langid.UND).select(*docs.columns)
+    return langid.predict(docs, langs, protos, docs.columns, ("__lang", "__score")).where(F.col("__lang") != langid.UND).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

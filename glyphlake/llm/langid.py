@@ -130,8 +130,8 @@ def learn(docs: DataFrame, per_lang: int = 200) -> tuple[list[str], np.ndarray]:
     return [r[0] for r in rows], unit(np.array([r[1] for r in rows], np.float64)).astype(np.float32) if rows else np.zeros((0, DIM), np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns ``keep``), lang_pred, score (the cosine, 0 if negative)."""
+def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id (or the columns ``keep``), and as ``names`` the language and its score (the cosine, 0 if negative)."""
     keep = keep or ["doc_id"]
     fields = [docs.schema[c] for c in keep]
 
@@ -143,15 +143,15 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, keep: list[st
             if langs:
                 cos = unit(v) @ protos.T
                 best = cos.argmax(axis=1)
-                out["lang_pred"] = np.where(some, np.array(langs, object)[best], UND)
-                out["score"] = np.where(some, np.clip(cos[np.arange(len(v)), best], 0, 1), 0).astype(np.float64)
+                out[names[0]] = np.where(some, np.array(langs, object)[best], UND)
+                out[names[1]] = np.where(some, np.clip(cos[np.arange(len(v)), best], 0, 1), 0).astype(np.float64)
             else:
-                out["lang_pred"], out["score"] = UND, 0.0
+                out[names[0]], out[names[1]] = UND, 0.0
             yield out
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInPandas(run, schema)
 
 

@@ -59,7 +59,7 @@ def dedup(docs: DataFrame, grain: Grain = WORDS, shard: int = SHARD) -> DataFram
             split = [(t or "").encode("utf-8", "surrogatepass").split() for t in pdf["text"]]
             coded = [[numbers.setdefault(w, len(numbers)) for w in words] for words in split]
             found = set()
-            for words, spans in zip(coded, pdf["spans"]):
+            for words, spans in zip(coded, pdf["__spans"]):
                 if spans is not None:
                     found |= phrases(words, spans, grain.width)
             automaton, rows = compiled(found), []
@@ -77,4 +77,4 @@ def dedup(docs: DataFrame, grain: Grain = WORDS, shard: int = SHARD) -> DataFram
             yield out
 
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string")])
-    return with_spans(docs.select("doc_id", "text"), grain).select("doc_id", "text", "spans").mapInPandas(run, schema)
+    return with_spans(docs.select("doc_id", "text"), grain).select("doc_id", "text", "__spans").mapInPandas(run, schema)

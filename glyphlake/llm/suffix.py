@@ -33,9 +33,9 @@ def removed(raw: bytes, spans, width: int) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, grain: Grain) -> DataFrame:
-    """docs(doc_id, text, ...) with their repeated windows; null where there are none."""
-    keys = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    return keys.join(repeated(keyed(docs), grain), "rid", "left")
+    """docs(doc_id, text, ...) with their repeated windows as __spans; null where there are none."""
+    found = repeated(keyed(docs), grain).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
+    return docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(found, "__rid", "left")
 
 
 def dedup(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
@@ -44,7 +44,7 @@ def dedup(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
     def run(frames):
         for pdf in batches(frames, CHARS):
             rows = []
-            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
+            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["__spans"]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 gone, kept, n = 0, raw, 0
                 if spans is not None:
@@ -57,19 +57,20 @@ def dedup(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
             yield out
 
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string")])
-    return with_spans(docs.select("doc_id", "text"), grain).select("doc_id", "text", "spans").mapInPandas(run, schema)
+    return with_spans(docs.select("doc_id", "text"), grain).select("doc_id", "text", "__spans").mapInPandas(run, schema)
 
 
 def cleaned(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
     """All columns of docs, with repeated passages cut out of text; null text stays null."""
+    columns = docs.columns
 
     def run(frames):
         for pdf in batches(frames, CHARS):
             out = pdf.copy()
             out["text"] = [
                 text if spans is None or text is None else np.frombuffer(raw := text.encode("utf-8", "surrogatepass"), np.uint8)[~removed(raw, spans, grain.width)].tobytes().decode("utf-8", "ignore")
-                for text, spans in zip(pdf["text"], pdf["spans"])
+                for text, spans in zip(pdf["text"], pdf["__spans"])
             ]
-            yield out[docs.columns]
+            yield out[columns]
 
-    return with_spans(docs, grain).select(*docs.columns, "spans").mapInPandas(run, docs.schema)
+    return with_spans(docs, grain).select(*docs.columns, "__spans").mapInPandas(run, docs.schema)
