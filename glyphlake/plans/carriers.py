@@ -45,7 +45,7 @@ def container_roundtrip(spark, d):
     return found.select("image_id", "status", "fmt", "mime", F.md5(text).alias("text"))
 
 
-@query(f"SELECT turn, type, count(*) AS n FROM (SELECT doc_id % 3 AS turn, unnest(CASE doc_id % 3 WHEN 0 THEN ['IHDR', 'siMl', 'IEND'] WHEN 1 THEN ['E0', 'EB', 'DA'] ELSE ['VP8X', 'VP8 ', 'siML'] END) AS type FROM documents) GROUP BY ALL")
+@query(f"SELECT turn, type, count(*) AS n FROM (SELECT doc_id % 3 AS turn, unnest(CASE doc_id % 3 WHEN 0 THEN ['IHDR', '{K.PNG_CHUNK.decode()}', 'IEND'] WHEN 1 THEN ['E0', 'EB', 'DA'] ELSE ['VP8X', 'VP8 ', '{K.WEBP_CHUNK.decode()}'] END) AS type FROM documents) GROUP BY ALL")
 def container_parts(spark, d):
     rows = C.parts(written(spark, d), "image_id")
     return rows.groupBy((F.col("image_id") % 3).alias("turn"), "type").agg(F.count("*").alias("n"))

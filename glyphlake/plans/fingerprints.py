@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import formats as K
 from ..operators import fingerprint as P
 from ..operators import registry as R
 from .base import query, table
@@ -163,7 +164,7 @@ def reg_key_format(spark, d):
 
 
 @query(f"""WITH {_R}, {_Q[2]}, {_PAIRS},
-i AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 5 = 0 THEN 'layer ' || vec_id END AS layer_text, CASE WHEN vec_id % 5 <> 0 AND vec_id % 7 = 0 THEN 'img-' || vec_id WHEN vec_id % 11 = 0 THEN '+1 800 555 01' || (10 + vec_id % 90) WHEN vec_id % 13 = 0 THEN 'siml-lost' END AS t1_text FROM embeddings),
+i AS (SELECT vec_id AS query_id, CASE WHEN vec_id % 5 = 0 THEN 'layer ' || vec_id END AS layer_text, CASE WHEN vec_id % 5 <> 0 AND vec_id % 7 = 0 THEN 'img-' || vec_id WHEN vec_id % 11 = 0 THEN '+1 800 555 01' || (10 + vec_id % 90) WHEN vec_id % 13 = 0 THEN '{K.ID_PREFIX}lost' END AS t1_text FROM embeddings),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, key) AS n, lead(dist) OVER (PARTITION BY query_id ORDER BY dist, key) AS second FROM pairs WHERE dist <= {EXACT} AND query_id % 4 <> 0),
 won AS (SELECT query_id, key FROM near WHERE n = 1 AND coalesce(second > dist + 4, true))
 SELECT query_id, tier, CASE tier WHEN 'content_id' THEN query_id::VARCHAR WHEN 'fingerprint' THEN key::VARCHAR END AS key,
@@ -175,7 +176,7 @@ def resolve_tiers(spark, d):
     from ..operators.resolve import resolve
 
     i = F.col("query_id")
-    t1 = F.when((i % 5 != 0) & (i % 7 == 0), F.concat(F.lit("img-"), i.cast("string"))).when(i % 11 == 0, F.concat(F.lit("+1 800 555 01"), (10 + i % 90).cast("string"))).when(i % 13 == 0, "siml-lost")
+    t1 = F.when((i % 5 != 0) & (i % 7 == 0), F.concat(F.lit("img-"), i.cast("string"))).when(i % 11 == 0, F.concat(F.lit("+1 800 555 01"), (10 + i % 90).cast("string"))).when(i % 13 == 0, K.ID_PREFIX + "lost")
     images = asked(spark, d, 2).withColumn("layer_text", F.when(i % 5 == 0, F.concat(F.lit("layer "), i.cast("string")))).withColumn("t1_text", t1)
     images = images.withColumn("hash", F.when(i % 4 != 0, F.col("hash"))).withColumn("stored_digest", F.lit(None).cast("array<long>")).withColumn("live_digest", F.col("hash"))
     reg = entries(spark, d).withColumn("content_id", F.concat(F.lit("img-"), F.col("key").cast("string")))

@@ -149,7 +149,7 @@ def region_select(spark, d):
 @query(f"""WITH {_OBJECTS}, a AS (SELECT *, type IN ('phone', 'url') AND coalesce(intent, 'actionable') = 'actionable' AS acts FROM o),
 c AS (SELECT image_id, text, row_number() OVER (PARTITION BY image_id ORDER BY CASE WHEN prim THEN 0 ELSE 1 END, pos) AS n FROM a WHERE prim OR acts),
 f AS (SELECT image_id, arg_min(text, pos) AS other FROM a WHERE acts AND octet_length(encode(text)) <= 16 GROUP BY 1),
-i AS (SELECT image_id, text, CASE WHEN image_id % 3 = 0 THEN 'conversation-number-' || image_id ELSE 'siml-' || image_id END AS cid FROM c WHERE n = 1),
+i AS (SELECT image_id, text, CASE WHEN image_id % 3 = 0 THEN 'conversation-number-' || image_id ELSE '{K.ID_PREFIX}' || image_id END AS cid FROM c WHERE n = 1),
 w AS (SELECT image_id, CASE WHEN octet_length(encode(text)) <= 16 THEN text WHEN octet_length(encode(cid)) <= 16 THEN cid ELSE other END AS carried,
   CASE WHEN octet_length(encode(text)) <= 16 THEN 'direct' WHEN octet_length(encode(cid)) <= 16 THEN 'id' WHEN other IS NOT NULL THEN 'direct' END AS mode FROM i LEFT JOIN f USING (image_id))
 SELECT o.image_id, any_value(carried) AS carried, any_value(mode) AS mode FROM (SELECT DISTINCT image_id FROM o) o LEFT JOIN w USING (image_id) GROUP BY 1""")

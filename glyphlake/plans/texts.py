@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import formats as K
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import layers as L
@@ -127,7 +128,7 @@ def events_props_json(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
 
 
-@query("SELECT event_id, 'siml-' || lower(to_base(epoch_us(ts) // 1000, 36)) AS content_id FROM events")
+@query(f"SELECT event_id, '{K.ID_PREFIX}' || lower(to_base(epoch_us(ts) // 1000, 36)) AS content_id FROM events")
 def content_ids(spark, d):
     return table(spark, d, "events").select("event_id", T.base36(F.unix_millis(F.col("ts").cast("timestamp"))).alias("content_id"))
 

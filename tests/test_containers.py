@@ -47,7 +47,7 @@ MALFORMED = [
     b"\xff\xd8\xff",
     b"\xff\xd8\xff\xeb\x00",
     b"\xff\xd8\xff\xeb\x00\x01",
-    b"RIFF\0\0\0\0WEBPsiML\xff\xff\xff\x7f",
+    b"RIFF\0\0\0\0WEBP" + K.WEBP_CHUNK + b"\xff\xff\xff\x7f",
     b"\1\2\3\4",
 ]
 

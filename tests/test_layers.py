@@ -98,7 +98,7 @@ def test_authoring_then_resolution(spark):
     entry = entries.first()
     assert len(entry["key"]) == 64 and len(entry["region_hash"]) == 8 and layer["pixelDigest"] == entry["key"]
     reg = entries.withColumn("reg_ord", F.lit(0))
-    asks = spark.createDataFrame([(1, None, None, None, "c1", None), (2, None, None, None, None, entry["hash"]), (3, None, None, None, "+1 800 555 0100", None), (4, None, None, None, "siml-x", None)], "query_id long, layer_text string, stored_digest array<long>, live_digest array<long>, t1_text string, hash array<long>")
+    asks = spark.createDataFrame([(1, None, None, None, "c1", None), (2, None, None, None, None, entry["hash"]), (3, None, None, None, "+1 800 555 0100", None), (4, None, None, None, K.ID_PREFIX + "x", None)], "query_id long, layer_text string, stored_digest array<long>, live_digest array<long>, t1_text string, hash array<long>")
     got = {r["query_id"]: (r["tier"], r["status"], r["value_type"]) for r in resolve(asks, reg).collect()}
     assert got == {1: ("content_id", "exact", None), 2: ("fingerprint", "verified", None), 3: ("value", "exact", "phone"), 4: ("value", "unverified_id", "unknown")}
 
