@@ -92,6 +92,7 @@ def drawn(goal: DataFrame, block: int = 1024, seed: int = 0) -> DataFrame:
     shards = goal.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0)) / LOT).alias("shards"))
     goal = goal.crossJoin(F.broadcast(shards))  # one row, made by an aggregate
     lots = goal.select("key", "shards", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / LOT))).alias("lot"))
+    lots = lots.repartition("key", "lot")  # few sources, many slots
     draws = (
         lots.select("key", "shards", F.explode(F.sequence(F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, "slots") - 1)).alias("k"))
         .groupBy("key", F.pmod(F.xxhash64(F.lit(seed), "key", "k"), F.col("shards")).alias("shard"))
