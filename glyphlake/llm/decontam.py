@@ -1,13 +1,15 @@
 """Benchmark decontamination: finds documents that hold items of a test set.
 
-The items are indexed with BM25 (terms: lower-case words without ASCII punctuation); a term's
+The items are indexed with BM25 (terms: lower-case words without ASCII punctuation; words of
+more than 5 % of the items are stop words, but each item keeps its 8 rarest); a term's
 impact on an item is divided by ``share`` of the score that the item gets with its own words,
 so that an item is retrieved when its sum is 1 or more. Documents are cut into passages of
 128 words, one every 64; an item of at most 65 words lies whole in one of them, a longer one
 with 65 words at least. Every passage is a query, and all items above the threshold are
 retrieved by block-max WAND: postings are in item order, in blocks that know their greatest
 impact, and items are skipped while the bounds of the terms that reach them stay below 1.
-A passage whose terms' greatest impacts already sum to less than 1 needs no cursor.
+The blocks' bounds are first summed for all passages at once; a passage whose terms stay
+below 1 in every block needs no cursor.
 
 A retrieved item is verified on the passage and a passage's length around it: the item's
 question (its lines but the last, or its first half if the last line has under five words or
@@ -31,7 +33,8 @@ from pyspark.sql import types as T
 
 from .common import batches, word_hashes
 
-PASSAGE, STRIDE, BLOCK = 128, 64, 32
+PASSAGE, STRIDE, BLOCK = 128, 64, 4
+COMMON, RARE = 0.05, 8
 K1, B = 1.2, 0.75
 CHARS = 1 << 21
 
@@ -62,13 +65,23 @@ class Index:
         item = np.repeat(np.arange(len(items)), [len(t) for t, _ in own])
         term, tf = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.uint64) for k in (0, 1))
         self.terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
+        # words of many items are stop words, except an item's rarest few
+        low = df[term] <= max(1, COMMON * len(items))
+        order = np.lexsort((term, df[term], item))
+        place = np.empty(len(term), np.int64)
+        place[order] = np.arange(len(term)) - np.searchsorted(item, np.arange(len(items)))[item]
+        low |= place < RARE
+        item, term, tf = item[low], term[low], tf[low]
         norm = K1 * (1 - B + B * length / max(1e-9, length.mean() if len(length) else 1))
         impact = np.log(1 + (len(items) - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[item])
         impact /= share * np.bincount(item, impact, len(items))[item]
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
         self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.most = np.maximum.reduceat(self.impact, self.start[:-1]) if len(self.terms) else np.zeros(0)
+        self.blocks = np.zeros((len(self.terms) + 1, -(-len(items) // BLOCK) or 1), np.float32)  # greatest impact in each block of items
+        np.maximum.at(self.blocks, (term, item // BLOCK), impact * (1 + 1e-6))
+        self.most = self.blocks[:-1].max(axis=1)
+        self.cursors: dict[int, tuple] = {}
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for words of no item."""
@@ -81,9 +94,12 @@ class Index:
         """All items whose impacts on these distinct terms sum to 1 or more."""
         lists = []
         for t in terms.tolist():
-            a, b = self.start[t], self.start[t + 1]
-            items, impacts = self.item[a:b].tolist(), self.impact[a:b].tolist()
-            lists.append([items[0], 0, items, impacts, float(self.most[t]), [max(impacts[k : k + BLOCK]) for k in range(0, len(items), BLOCK)]])
+            if t not in self.cursors:
+                a, b = self.start[t], self.start[t + 1]
+                items, impacts = self.item[a:b].tolist(), self.impact[a:b].tolist()
+                self.cursors[t] = items, impacts, float(self.most[t]), [max(impacts[k : k + BLOCK]) for k in range(0, len(items), BLOCK)]
+            if self.cursors[t][0]:
+                lists.append([self.cursors[t][0][0], 0, *self.cursors[t]])
         found = []
         while lists:
             lists.sort(key=lambda x: x[0])
@@ -127,31 +143,51 @@ class Index:
         return found
 
 
-def passages(index: Index, hashes: np.ndarray):
-    """start, item number and score of each retrieval in one text's words."""
-    terms = index.numbers(hashes)
-    bound = np.concatenate([[0.0], np.cumsum(np.where(terms >= 0, index.most[terms], 0.0))])
-    start = np.arange(0, max(1, len(hashes) - STRIDE), STRIDE)
-    for s in start[bound[np.minimum(start + PASSAGE, len(hashes))] - bound[start] >= 1 - 1e-6]:
-        own = np.unique(terms[s : s + PASSAGE])
-        own = own[own >= 0]
-        if index.most[own].sum() >= 1 - 1e-9:
-            for item, score in index.search(own):
-                yield int(s), item, score
-
-
-def matches(index: Index, hashes: np.ndarray, overlap: float):
-    """item number, best score, question and answer overlap of each verified item in one text's words."""
-    best: dict[int, tuple[float, float, float]] = {}
-    for s, item, score in passages(index, hashes):
-        have = grams(hashes[max(0, s - PASSAGE) : s + 2 * PASSAGE])
+def retrieved(index: Index, hashes: np.ndarray, bounds: np.ndarray):
+    """text, start, item number and score of each retrieval in some texts' words.
+
+    A passage is two strides in a row. Each stride's distinct terms give its bound for every
+    block of items; a passage whose bounds are below 1 in all blocks is passed over.
+    """
+    terms, n = index.numbers(hashes), np.diff(bounds)
+    strides = np.maximum(1, -(-n // STRIDE))
+    first = np.cumsum(strides) - strides
+    text = np.repeat(np.arange(len(n)), n)
+    stride = first[text] + (np.arange(len(terms)) - bounds[text]) // STRIDE
+    known = terms >= 0
+    pairs = np.unique(stride[known] * len(index.blocks) + terms[known])
+    where, what = pairs // len(index.blocks), pairs % len(index.blocks)
+    bound = np.zeros((int(strides.sum()) + 1, index.blocks.shape[1]), np.float32)
+    own = np.flatnonzero(np.diff(where, prepend=-1))
+    if len(own):
+        bound[where[own]] = np.add.reduceat(index.blocks[what], own)
+    inner = np.ones(len(bound), bool)  # strides that have a next one in their text
+    inner[first + strides - 1] = False
+    inner[-1] = False
+    both = bound[:-1] + bound[1:] * inner[:-1, None]
+    starts = inner[:-1].copy()
+    starts[first] = True
+    home = np.repeat(np.arange(len(n)), strides)
+    cut = np.searchsorted(where, np.arange(len(bound) + 1))
+    for k in np.flatnonzero(starts & (both.max(axis=1) >= 1 - 1e-5)):
+        own = np.unique(what[cut[k] : cut[k + 1 + bool(inner[k])]])
+        for item, score in index.search(own):
+            yield int(home[k]), int((k - first[home[k]]) * STRIDE), item, score
+
+
+def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray, overlap: float) -> list[tuple]:
+    """text, item number, best score, question and answer overlap of each verified item."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for text, s, item, score in retrieved(index, hashes, bounds):
+        a, b = bounds[text], bounds[text + 1]
+        have = grams(hashes[max(a, a + s - PASSAGE) : min(b, a + s + 2 * PASSAGE)])
         question, answer = (len(side & have) / len(side) if side else 1.0 for side in index.sides[item])
-        if min(question, answer) >= overlap and (score, question, answer) > best.get(item, (0.0, 0.0, 0.0)):
-            best[item] = (score, question, answer)
-    return sorted((item, *found) for item, found in best.items())
+        if min(question, answer) >= overlap and (score, question, answer) > best.get((text, item), (0.0, 0.0, 0.0)):
+            best[text, item] = (score, question, answer)
+    return sorted((*key, *found) for key, found in best.items())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, overlap: float = 0.5, lot: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, overlap: float = 0.5, lot: int = 512) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, rid: one row for each item that a document holds."""
     items = benchmark.where("text is not null").select("item_id", "text")
     lots = items.count() // lot + 1
@@ -166,11 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, over
         def run(frames, index=index):
             for pdf in batches(frames, CHARS):
                 hashes, bounds, _, _ = word_hashes(pdf["text"], lower=True, bare=True)
-                for doc_id, rid, a, b in zip(pdf["doc_id"], pdf["rid"], bounds[:-1], bounds[1:]):
-                    found = matches(index.value, hashes[a:b], overlap)
-                    if found:
-                        rows = [(doc_id, index.value.ids[i], *rest, rid) for i, *rest in found]
-                        yield pd.DataFrame(rows, columns=schema.names)
+                doc_id, rid = pdf["doc_id"].to_numpy(), pdf["rid"].to_numpy()
+                rows = [(doc_id[d], index.value.ids[i], *rest, rid[d]) for d, i, *rest in matches(index.value, hashes, bounds, overlap)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=schema.names)
 
         one = keyed.mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
@@ -179,5 +214,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, over
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """All columns of the documents that hold no item."""
-    hit = contaminated(docs, benchmark, **how).select("rid").distinct()
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(hit, "rid", "left_anti").select(*docs.columns)
+    hit = contaminated(docs, benchmark, **how).select(F.col("rid").alias("__rid")).distinct()
+    return docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(hit, "__rid", "left_anti").select(*docs.columns)
