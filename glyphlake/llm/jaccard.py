@@ -9,12 +9,14 @@ Jaccard distance is a metric. The join is exact (shingles are 64-bit hashes):
    from the rarest shingle on, linked sets share one of their first L - 0.12 a + 1.
    These shingles tie candidates together; the connected ones form cells.
 3. A cell too large for one task is divided by pivots: each set goes to its nearest pivot's
-   Voronoi region, if it is within RADIUS of it, and else to the region of the far. A set on
+   Voronoi region, if it is within RADIUS of it, and else to the region of the far (pivots of
+   regions lie apart, so that a family has one). A set on
    a boundary is replicated to each region where the triangle inequality allows it a partner:
    pivot distances up to its own nearest plus twice the link distance, and RADIUS plus the
    link distance; it is also among the far from RADIUS less the link distance on. All pairs
-   with a pivot are decided, so a set linked with its region's pivot stays only if some set
-   that isn't linked comes near enough. Regions are divided again until they are small.
+   with a pivot are decided, so pivots leave, and a set linked with its region's pivot stays
+   only if some set that isn't linked comes near enough. A region whose sets are all connected
+   is done. The rest are divided again until they are small.
 4. In a small cell each set in turn is a pivot for those it isn't connected with yet, and
    the first pivot's distances give the windows in which partners can lie.
 
@@ -41,7 +43,7 @@ LINK = (80, 100)  # similarity, as a fraction
 NEAR = 0.2  # its distance
 RADIUS = 0.4
 PIVOTS = 64
-CELL_SETS, CELL_SHINGLES = 512, 1 << 19
+CELL_SETS, CELL_SHINGLES = 4096, 1 << 21
 CHARS = 1 << 21
 
 
@@ -188,61 +190,106 @@ def small_links(rows: DataFrame, bins: int) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64("cell"), F.lit(bins)).alias("bin")).applyInPandas(join, "u long, v long")
 
 
-def divided(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Links between large cells' sets and pivots, and the regions' rows."""
+def grouped(d: np.ndarray) -> np.ndarray:
+    """The first pivot that each pivot is connected with by links, from the pivots' distances."""
+    first = np.arange(len(d))
+    for _ in range(len(d)):
+        least = np.where(d <= NEAR, first[None, :], len(d)).min(axis=1)
+        if (least == first).all():
+            break
+        first = least
+    return first
+
+
+def apart(d: np.ndarray) -> list[int]:
+    """Pivots in order, each only if it is far from all before it: one a family."""
+    out: list[int] = []
+    for j in range(len(d)):
+        if (d[j, out] > RADIUS + NEAR).all():
+            out.append(j)
+    return out
+
+
+def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """Jaccard distances; those of linked pairs are exactly at or under NEAR, all others above."""
+    index, size = indexed(pivots), np.array([len(s) for s in pivots])
+    out = np.zeros((len(sets), len(pivots)))
+    for k, s in enumerate(sets):
+        both = overlaps(*index, len(pivots), s)
+        union = size + len(s) - both
+        d = 1 - both / union
+        out[k] = np.where(LINK[1] * both >= LINK[0] * union, np.minimum(d, NEAR), np.maximum(d, np.nextafter(NEAR, 1)))
+    return out
+
+
+def divided(rows: DataFrame, turn: int, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between large cells' sets and pivots, and the regions' rows. links: those known so far.
+
+    A cell is dealt out in parts of bounded size, each beside all pivots of the cell.
+    """
+    parts = rows.groupBy("cell").agg((F.count("*") / CELL_SETS + F.sum("n") / CELL_SHINGLES + 1).cast("int").alias("parts"))
     order = Window.partitionBy("cell").orderBy(F.xxhash64("sig", F.lit(turn)), "sig")
-    pivots = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS)
-    pivots = pivots.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("sig", "shingles"))).alias("pivots"))
-
-    def place(frames):
-        cached, index = None, None
-        for pdf in frames:
-            out = []
-            for cell, sig, n, raw, pivots in zip(pdf["cell"], pdf["sig"], pdf["n"], pdf["shingles"], pdf["pivots"]):
-                if cell != cached:
-                    own = [np.frombuffer(p["shingles"], np.uint64) for p in pivots]
-                    names, size, index, cached = [p["sig"] for p in pivots], np.array([len(s) for s in own]), indexed(own), cell
-                both = overlaps(*index, len(names), np.frombuffer(raw, np.uint64))
-                union = size + n - both
-                linked, d = LINK[1] * both >= LINK[0] * union, 1 - both / union
-                d = np.where(linked, np.minimum(d, NEAR), d)
-                if sig in names:  # a pivot's pairs are all decided here
-                    out += [(cell, sig, n, raw, names[j], 0.0, True, -1) for j in np.flatnonzero(linked)]
-                    continue
-                out += [(cell, sig, n, None, names[j], 0.0, True, -1) for j in np.flatnonzero(linked)]
-                near = d.min()
-                for j in np.flatnonzero(d <= min(near + 2 * NEAR, RADIUS + NEAR) + 1e-9):
-                    out.append((cell, sig, n, raw, names[j], d[j], bool(linked[j]), int(j)))
-                if near > RADIUS - NEAR - 1e-9:
-                    out.append((cell, sig, n, raw, 0, 2.0, False, PIVOTS))
-            yield pd.DataFrame(out, columns=["cell", "sig", "n", "shingles", "pivot", "d", "linked", "region"])
-
-    schema = "cell long, sig long, n long, shingles binary, pivot long, d double, linked boolean, region int"
-    placed = materialise(rows.join(pivots, "cell").mapInPandas(place, schema), "jaccard-placed")
-    links = placed.where("region = -1").select(F.col("sig").alias("u"), F.col("pivot").alias("v"))
-    inside = placed.where("region >= 0")
-    least = inside.where("not linked").groupBy("cell", "region").agg(F.min("d").alias("least"))
-    stay = inside.join(least, ["cell", "region"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - NEAR - 1e-9))
-    return links, stay.select(F.xxhash64("cell", "region", F.lit(turn)).alias("cell"), "sig", "n", "shingles")
+    pivots = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= PIVOTS).join(parts, "cell")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_part")
+    pivots = pivots.select(F.col("cell").alias("p_cell"), F.col("sig").alias("p_sig"), F.col("shingles").alias("p_shingles"), F.col("r").alias("p_r"), each)
+    dealt = rows.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).drop("parts")
+
+    def place(own: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        columns = ["cell", "sig", "region", "d", "linked", "pivot"]
+        if not len(own):
+            return pd.DataFrame([], columns=columns)
+        pivots = pivots.sort_values("p_r")
+        names = pivots["p_sig"].tolist()
+        sets = [np.frombuffer(b, np.uint64) for b in pivots["p_shingles"]]
+        between = distances(sets, sets)
+        family, chosen = grouped(between), apart(between)
+        d = distances([np.frombuffer(b, np.uint64) for b in own["shingles"]], sets)
+        out = []
+        for cell, sig, near in zip(own["cell"], own["sig"], d):
+            for j in np.unique(family[near <= NEAR]):  # one link for each connected group of pivots
+                out.append((cell, sig, -1, 0.0, True, names[np.flatnonzero((family == j) & (near <= NEAR))[0]]))
+            if sig in names:  # all pairs of a pivot are decided
+                j = names.index(sig)
+                out.append((cell, sig, -1, 0.0, True, names[family[j]]))
+                continue
+            here = near[chosen]
+            least = here.min()
+            for k in np.flatnonzero(here <= min(least + 2 * NEAR, RADIUS + NEAR) + 1e-9):
+                out.append((cell, sig, int(chosen[k]), float(here[k]), bool(here[k] <= NEAR), 0))
+            if least > RADIUS - NEAR - 1e-9:
+                out.append((cell, sig, PIVOTS, 2.0, False, 0))
+        return pd.DataFrame(out, columns=columns)
+
+    schema = "cell long, sig long, region int, d double, linked boolean, pivot long"
+    placed = dealt.groupBy("cell", "part").cogroup(pivots.groupBy("p_cell", "p_part")).applyInPandas(place, schema)
+    placed = materialise(placed, "jaccard-placed")
+    more = placed.where("region = -1").select(F.col("sig").alias("u"), F.col("pivot").alias("v"))
+    label = components(links.unionByName(more)).withColumnRenamed("id", "sig")
+    inside = placed.where("region >= 0").join(label, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    state = inside.groupBy("cell", "region").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"), F.min("label").alias("a"), F.max("label").alias("b"))
+    state = state.where("a <> b and least is not null").select("cell", "region", "least")  # sets that are connected need no more links
+    stay = inside.join(state, ["cell", "region"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - NEAR - 1e-9))
+    stay = stay.select("cell", "sig", "region").join(rows, ["cell", "sig"])
+    return more, stay.select(F.xxhash64("cell", "region", F.lit(turn)).alias("cell"), "sig", "n", "shingles")
 
 
 def all_links(rows: DataFrame) -> DataFrame:
     """Edges that connect what links connect, from cell rows."""
     links, turn = None, 0
+    large = (F.col("c") > 2) & ((F.col("c") > CELL_SETS) | (F.col("w") > CELL_SHINGLES))
     while True:
         rows = materialise(rows, "jaccard-cells")
-        weight = rows.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-        large = (F.col("c") > CELL_SETS) | (F.col("w") > CELL_SHINGLES)
-        sized = rows.join(weight.where("c > 1"), "cell")
-        total = weight.where("c > 1").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.max(F.when(large & (F.col("c") > 2), 1)), F.lit(0))).first()
-        huge = large & (F.col("c") > 2)
-        bins = int(total[0] // CELL_SETS + total[1] // CELL_SHINGLES + 1)
-        more = materialise(small_links(sized.where(~huge).select("cell", "sig", "shingles"), bins), "jaccard-links")
+        weight = rows.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
+        zero = lambda x: F.coalesce(x, F.lit(0))
+        sets, shingles_, any_large = weight.agg(zero(F.sum("c")), zero(F.sum("w")), zero(F.max(large.cast("int")))).first()
+        sized = rows.join(weight, "cell")
+        bins = int(sets // CELL_SETS + shingles_ // CELL_SHINGLES + 1) * 4
+        more = materialise(small_links(sized.where(~large).select("cell", "sig", "shingles"), bins), "jaccard-links")
         links = more if links is None else links.unionByName(more)
-        if not total[2]:
+        if not any_large:
             return links
-        more, rows = divided(sized.where(huge).select("cell", "sig", "n", "shingles"), turn)
-        links, turn = links.unionByName(more), turn + 1
+        more, rest = divided(sized.where(large).select("cell", "sig", "n", "shingles"), turn, links)
+        links, rows, turn = links.unionByName(more), rest, turn + 1
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -263,6 +310,6 @@ def link(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """All columns of the document of least id of each group; rows that are equal in id and text count as one."""
-    kept = link(docs).where("component_id <=> doc_id or n_shingles = 0").select("rid").distinct()
-    keyed = docs.withColumn("rid", F.xxhash64("doc_id", "text")).join(kept, "rid", "left_semi")
-    return keyed.withColumn("rn", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).where("rn = 1").select(*docs.columns)
+    kept = link(docs).where("component_id <=> doc_id or n_shingles = 0").select(F.col("rid").alias("__rid")).distinct()
+    keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(kept, "__rid", "left_semi")
+    return keyed.dropDuplicates(["__rid"]).select(*docs.columns)
