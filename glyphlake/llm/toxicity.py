@@ -257,11 +257,14 @@ def trained(texts: list[str | None], labels: np.ndarray, rounds: int = 5, batch:
 
 
 def sample(docs: DataFrame, labels: DataFrame, fit: int) -> DataFrame:
-    """text and toxic of the labelled rows to learn from."""
-    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(id_bucket(F.col("doc_id"), 5) != 0).select("doc_id", "text").join(known, "doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    return rows.select("text", "toxic", F.row_number().over(order).alias("rn")).where(F.col("rn") <= fit).orderBy("toxic", "rn").select("text", "toxic")
+    """text and toxic of the rows to learn from. Their ids are chosen among the labels, so that no text is shuffled."""
+    known = labels.where("toxic in (0, 1)").where(id_bucket(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = {r["doc_id"]: r["toxic"] for r in known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= fit).select("doc_id", "toxic").collect() if r["doc_id"] is not None}
+    if not chosen:
+        return docs.limit(0).select("text", F.lit(0).alias("toxic"))
+    toxic = F.col("doc_id").isin([i for i, y in chosen.items() if y == 1]).cast("int").alias("toxic")
+    return docs.where(F.col("doc_id").isin(list(chosen))).select("text", toxic, "doc_id").distinct().orderBy("toxic", F.xxhash64("doc_id", "text")).select("text", "toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame, fit: int = 500) -> DataFrame:
