@@ -21,18 +21,18 @@ _PNG = K.PNG_SIGNATURE + C.png_chunk(b"IHDR", bytes(13)) + C.png_chunk(b"IEND",
 BASES = {"png": _PNG, "jpeg": _JPEG, "webp": _WEBP}
 
 
-def carriers(spark, d: str) -> DataFrame:
-    """Documents' first 2 000 characters as layers, in turn in each format: image_id, fmt, text, content, layer."""
+def carriers(spark, d: str, cut: int | None = 2000) -> DataFrame:
+    """Documents' first ``cut`` characters, or whole texts, as layers, in turn in each format: image_id, content, layer."""
     docs = table(spark, d, "documents")
     turn = F.col("doc_id") % 3
     content = F.when(turn == 0, F.lit(BASES["png"])).when(turn == 1, F.lit(BASES["jpeg"])).otherwise(F.lit(BASES["webp"]))
-    text = F.substring("text", 1, 2000)
+    text = F.substring("text", 1, cut) if cut else F.col("text")
     layer = F.to_json(F.struct(F.lit(K.VERSION).alias(K.VERSION_FIELD), F.array(F.struct(F.lit("t1").alias("id"), text.alias("text"))).alias("textLayer")))
     return docs.select(F.col("doc_id").alias("image_id"), content.alias("content"), layer.alias("layer"))
 
 
-def written(spark, d: str) -> DataFrame:
-    return C.write(carriers(spark, d))
+def written(spark, d: str, cut: int | None = 2000) -> DataFrame:
+    return C.write(carriers(spark, d, cut))
 
 
 _FMT = "CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'webp' END"
@@ -61,6 +61,28 @@ def preserve_matrix(spark, d):
     return kept.select("image_id", "fmt", F.md5(F.from_json(C.layer_json("content"), L.LAYER)["textLayer"][0]["text"]).alias("text"))
 
 
+# Whole texts. A box over what a JPEG segment holds isn't written, one over the payload cap isn't read.
+
+_ABOUT = 4 + 4 + len(K.BOX_UUID) + 1 + len(K.BOX_LABEL)
+_HEAD, _TAIL = f'{{"{K.VERSION_FIELD}":"{K.VERSION}","textLayer":[{{"id":"t1"', "}]}"
+_BOXED = f"""boxes AS (SELECT doc_id, text, {_FMT} AS fmt, {16 + _ABOUT + len(_HEAD + _TAIL)} + coalesce(octet_length(encode(to_json(text)::VARCHAR)) + {len(',"text":')}, 0) AS size FROM documents),
+w AS (SELECT *, size + {len(K.JPEG_IDENT) + 4 + 2} > {K.SEGMENT_CAP} AS long, size > {K.PAYLOAD_CAP} AS unread FROM boxes)"""
+
+
+@query(f"""WITH {_BOXED} SELECT doc_id AS image_id, CASE WHEN fmt = 'jpeg' AND long THEN '{K.TOO_LONG}' ELSE 'ok' END AS status, fmt, 'image/' || fmt AS mime, CASE WHEN NOT (fmt = 'jpeg' AND long OR unread) THEN md5(text) END AS text FROM w""")
+def container_roundtrip_whole(spark, d):
+    found = C.extract(written(spark, d, None).select("image_id", "status", "content"))
+    text = F.from_json("layer", L.LAYER)["textLayer"][0]["text"]
+    return found.select("image_id", "status", "fmt", "mime", F.md5(text).alias("text"))
+
+
+@query(f"""WITH {_BOXED} SELECT turn, type, count(*) AS n FROM (SELECT doc_id % 3 AS turn, unnest(CASE WHEN fmt = 'png' THEN CASE WHEN unread THEN ['IHDR'] ELSE ['IHDR', '{K.PNG_CHUNK.decode()}', 'IEND'] END
+WHEN fmt = 'jpeg' THEN CASE WHEN long THEN ['E0', 'DA'] ELSE ['E0', 'EB', 'DA'] END WHEN unread THEN ['VP8X', 'VP8 '] ELSE ['VP8X', 'VP8 ', '{K.WEBP_CHUNK.decode()}'] END) AS type FROM w) GROUP BY ALL""")
+def container_parts_whole(spark, d):
+    rows = C.parts(written(spark, d, None), "image_id")
+    return rows.groupBy((F.col("image_id") % 3).alias("turn"), "type").agg(F.count("*").alias("n"))
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)\\s*=\\s*[\"'']([^\"''>]+\\.(?:png|jpe?g|webp))[\"'']', 1)) AS link FROM pages")
 def page_image_links(spark, d):
     return C.links(table(spark, d, "pages"))
