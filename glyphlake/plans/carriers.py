@@ -83,6 +83,15 @@ def container_parts_whole(spark, d):
     return rows.groupBy((F.col("image_id") % 3).alias("turn"), "type").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {_BOXED} SELECT doc_id AS image_id, o.fmt, CASE WHEN NOT ((w.fmt = 'jpeg' OR o.fmt = 'jpeg') AND long OR unread) THEN md5(text) END AS text FROM w, (VALUES ('png'), ('jpeg'), ('webp')) o(fmt)""")
+def preserve_matrix_whole(spark, d):
+    """All documents' layers, in one format, carried over to bare outputs in every format."""
+    src = written(spark, d, None).select("image_id", "content")
+    bare = F.explode(F.array(*[F.struct(F.lit(k).alias("fmt"), F.lit(v).alias("content")) for k, v in BASES.items()])).alias("o")
+    kept = C.preserve(src, src.select("image_id", bare).select("image_id", "o.*"))
+    return kept.select("image_id", "fmt", F.md5(F.from_json(C.layer_json("content"), L.LAYER)["textLayer"][0]["text"]).alias("text"))
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(html, '(?:src|href)\\s*=\\s*[\"'']([^\"''>]+\\.(?:png|jpe?g|webp))[\"'']', 1)) AS link FROM pages")
 def page_image_links(spark, d):
     return C.links(table(spark, d, "pages"))
