@@ -59,6 +59,12 @@ def action_address(spark, d):
     return c.select("conv_id", "turn", T.action_uri(F.lit("address"), F.col("text")).alias("uri"))
 
 
+@query(f"WITH q AS (SELECT conv_id, turn, text AS token, 'address' AS type FROM conversations) SELECT conv_id, turn, {_URI} AS uri FROM q")
+def action_address_whole(spark, d):
+    """Every turn, however long."""
+    return table(spark, d, "conversations").select("conv_id", "turn", T.action_uri(F.lit("address"), F.col("text")).alias("uri"))
+
+
 @query(f"""WITH {_FIELDS}, i AS (SELECT *, CASE length(token) % 4 WHEN 0 THEN 'readonly' WHEN 1 THEN 'auto' WHEN 2 THEN 'actionable' END AS intent, length(token) % 3 = 0 AS may, length(token) % 2 = 0 AS off FROM typed WHERE type <> 'text' OR length(token) = 12)
 SELECT id, type <> 'text' AND NOT (may AND off) AND coalesce(intent, 'actionable') <> 'readonly' AND ({_URI}) IS NOT NULL AS enabled FROM i""")
 def action_enabled(spark, d):

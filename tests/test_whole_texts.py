@@ -29,7 +29,7 @@ def told(d, name):
     return sorted(({k: v for k, v in zip(names, r)} for r in got.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["container_roundtrip_whole", "container_parts_whole", "preserve_matrix_whole"])
+@pytest.mark.parametrize("name", ["container_roundtrip_whole", "container_parts_whole", "preserve_matrix_whole", "action_address_whole"])
 def test_whole_texts_equal_sql(spark, long_texts, name):
     want = told(long_texts, name)
     df = catalog.queries()[name](spark, long_texts)
@@ -43,3 +43,4 @@ def test_nothing_is_left_out(spark, long_texts):
     assert [i for i in rows if rows[i]["text"] is None] == [7, 11, 15]
     kept = carriers.preserve_matrix_whole(spark, long_texts).collect()
     assert len(kept) == 63 and sum(r["text"] is not None for r in kept) == 63 - 3 * 3 - 2
+    assert catalog.queries()["action_address_whole"](spark, long_texts).count() == 4
