@@ -2,9 +2,9 @@
 
 import random
 
-from test_operators import frame, words
+from test_operators import frame, linked, shingle_sets, words
 
-from glyphlake.llm import lm
+from glyphlake.llm import jaccard, lm
 
 
 def test_language_model_learns_from_all_rows(spark, monkeypatch):
@@ -21,3 +21,25 @@ def test_language_model_learns_from_all_rows(spark, monkeypatch):
     new = lm.averaged(docs.selectExpr("doc_id as rid", "text", "true as train"), p, kind, 3, lm.VOCABULARY)
     start, end = (lm.scores(lm.tables(x, kind, lm.np.bincount(ids, minlength=lm.IDS)), ids, bounds).sum() for x in (p, new))
     assert end > start
+
+
+def test_front_bound_holds_for_all_sizes():
+    """Linked sets have max(1, 0.12 n) of the first shingles of both in common, however the other shingles fall."""
+    for both in range(1, 400):
+        for x in range(both // 4 + 1):
+            for y in range(both // 4 + 1):
+                if 100 * both >= 80 * (both + x + y):
+                    a, b = both + x, both + y
+                    common = min(both, jaccard.first(a) - x, jaccard.first(b) - y)
+                    assert common >= max(1, *(-(-12 * n // 100) for n in (a, b))), (a, b)
+
+
+def test_short_texts_are_linked(spark):
+    """4 against 5 shingles and 9 against 11, in many hash orders."""
+    texts = []
+    for n, k in ((9, 1), (15, 2)):
+        for i in range(60):
+            w = [f"n{n}i{i}w{j}" for j in range(n)]
+            texts += [" ".join(w), " ".join(w[:-k])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(linked(shingle_sets(texts)))) == {i: i - i % 2 for i in range(len(texts))}
