@@ -4,18 +4,21 @@ The items are indexed with BM25 (terms: lower-case words without ASCII punctuati
 more than 5 % of the items are stop words, but each item keeps its 8 rarest); a term's
 impact on an item is divided by ``share`` of the score that the item gets with its own words,
 so that an item is retrieved when its sum is 1 or more. Documents are cut into passages of
-128 words, one every 64; an item of at most 65 words lies whole in one of them, a longer one
-with 65 words at least. Every passage is a query, and all items above the threshold are
+128 words, one every 64. An item of at most 65 words lies whole in one of them; a longer one
+is indexed in segments of at most 64 words, each like an item of its own, so that every
+segment of a copy does. Every passage is a query, and all items above the threshold are
 retrieved by block-max WAND: postings are in item order, in blocks that know their greatest
 impact, and items are skipped while the bounds of the terms that reach them stay below 1.
 The blocks' bounds are first summed for all passages at once; a passage whose terms stay
 below 1 in every block needs no cursor.
 
-A retrieved item is verified on the passage and a passage's length around it: the item's
+A retrieved item is verified on the passage and a passage's length around it, or, if it is
+longer, where the item would lie around its segment and a passage's length on either side (its
+score is that of its best segment): the item's
 question (its lines but the last, or its first half if the last line has under five words or
 is the only one) and its answer (the rest) must each have ``overlap`` of their distinct word trigrams (words, if fewer than three) there.
 
-Items are taken in lots of ``lot``, each with statistics of its own, so that what is sent to
+Items are taken in lots of about ``lot`` items and segments, each with statistics of its own, so that what is sent to
 the executors is bounded; documents are read once a lot.
 
 Defined cases: null or wordless items match nothing, null or wordless texts hold nothing;
@@ -54,31 +57,37 @@ def grams(words: np.ndarray) -> set[tuple[int, ...]]:
 
 
 class Index:
-    """Postings of items, item numbers in order, with the greatest impact of each block and term."""
+    """Postings of units (items, or the segments of a long one), unit numbers in order, with the greatest impact of each block and term."""
 
     def __init__(self, items: list[tuple[int, str]], share: float):
         hashes, bounds, _, _ = word_hashes([t for _, t in items], lower=True, bare=True)
+        words = np.diff(bounds)
+        units = np.where(words > STRIDE + 1, -(-words // STRIDE), 1)
+        self.home = np.repeat(np.arange(len(items)), units)  # each unit's item
+        part = np.arange(len(self.home)) - np.repeat(np.cumsum(units) - units, units)
+        self.words, self.offset = words[self.home], words[self.home] * part // units[self.home]
+        bounds = np.append(bounds[:-1][self.home] + self.offset, bounds[-1:])
         length = np.diff(bounds)
         own = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
         self.ids = [i for i, _ in items]
         self.sides = [[grams(word_hashes([x], lower=True, bare=True)[0]) for x in parts(t)] for _, t in items]
-        item = np.repeat(np.arange(len(items)), [len(t) for t, _ in own])
+        item = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
         term, tf = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.uint64) for k in (0, 1))
         self.terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
         # words of many items are stop words, except an item's rarest few
-        low = df[term] <= max(1, COMMON * len(items))
+        low = df[term] <= max(1, COMMON * len(own))
         order = np.lexsort((term, df[term], item))
         place = np.empty(len(term), np.int64)
-        place[order] = np.arange(len(term)) - np.searchsorted(item, np.arange(len(items)))[item]
+        place[order] = np.arange(len(term)) - np.searchsorted(item, np.arange(len(own)))[item]
         low |= place < RARE
         item, term, tf = item[low], term[low], tf[low]
         norm = K1 * (1 - B + B * length / max(1e-9, length.mean() if len(length) else 1))
-        impact = np.log(1 + (len(items) - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[item])
-        impact /= share * np.bincount(item, impact, len(items))[item]
+        impact = np.log(1 + (len(own) - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[item])
+        impact /= share * np.bincount(item, impact, len(own))[item]
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
         self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.blocks = np.zeros((len(self.terms) + 1, -(-len(items) // BLOCK) or 1), np.float32)  # greatest impact in each block of items
+        self.blocks = np.zeros((len(self.terms) + 1, -(-len(own) // BLOCK) or 1), np.float32)  # greatest impact in each block of items
         np.maximum.at(self.blocks, (term, item // BLOCK), impact * (1 + 1e-6))
         self.most = self.blocks[:-1].max(axis=1)
         self.cursors: dict[int, tuple] = {}
@@ -91,7 +100,7 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """All items whose impacts on these distinct terms sum to 1 or more."""
+        """All units whose impacts on these distinct terms sum to 1 or more."""
         lists = []
         for t in terms.tolist():
             if t not in self.cursors:
@@ -114,7 +123,7 @@ class Index:
             at = lists[pivot][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == at:
                 pivot += 1
-            near, end = 0.0, len(self.ids)
+            near, end = 0.0, len(self.home)
             for cursor in lists[: pivot + 1]:  # the block in which each would meet the pivot
                 k = cursor[1] // BLOCK
                 while (k + 1) * BLOCK < len(cursor[2]) and cursor[2][min((k + 1) * BLOCK, len(cursor[2])) - 1] < at:
@@ -144,7 +153,7 @@ class Index:
 
 
 def retrieved(index: Index, hashes: np.ndarray, bounds: np.ndarray):
-    """text, start, item number and score of each retrieval in some texts' words.
+    """text, start, unit number and score of each retrieval in some texts' words.
 
     A passage is two strides in a row. Each stride's distinct terms give its bound for every
     block of items; a passage whose bounds are below 1 in all blocks is passed over.
@@ -178,9 +187,10 @@ def retrieved(index: Index, hashes: np.ndarray, bounds: np.ndarray):
 def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray, overlap: float) -> list[tuple]:
     """text, item number, best score, question and answer overlap of each verified item."""
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for text, s, item, score in retrieved(index, hashes, bounds):
-        a, b = bounds[text], bounds[text + 1]
-        have = grams(hashes[max(a, a + s - PASSAGE) : min(b, a + s + 2 * PASSAGE)])
+    for text, s, unit, score in retrieved(index, hashes, bounds):
+        a, b, item = bounds[text], bounds[text + 1], int(index.home[unit])
+        at, long = a + s - int(index.offset[unit]), int(index.words[unit]) > STRIDE + 1
+        have = grams(hashes[max(a, at - PASSAGE) : max(a, min(b, at + 2 * PASSAGE + long * int(index.words[unit])))])
         question, answer = (len(side & have) / len(side) if side else 1.0 for side in index.sides[item])
         if min(question, answer) >= overlap and (score, question, answer) > best.get((text, item), (0.0, 0.0, 0.0)):
             best[text, item] = (score, question, answer)
@@ -190,7 +200,9 @@ def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray, overlap: float
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, overlap: float = 0.5, lot: int = 512) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, rid: one row for each item that a document holds."""
     items = benchmark.where("text is not null").select("item_id", "text")
-    lots = items.count() // lot + 1
+    words = F.size(F.split("text", r"\s+"))
+    units = items.agg(F.sum(F.when(words > STRIDE + 1, F.ceil(words / STRIDE)).otherwise(1))).first()[0] or 0
+    lots = int(units) // lot + 1
     out, fields = None, "item_id long, score double, question_overlap double, answer_overlap double, rid long"
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(fields)])

@@ -4,7 +4,7 @@ import random
 
 from test_operators import frame, linked, shingle_sets, words
 
-from glyphlake.llm import jaccard, lm
+from glyphlake.llm import decontam, jaccard, lm
 
 
 def test_language_model_learns_from_all_rows(spark, monkeypatch):
@@ -43,3 +43,14 @@ def test_short_texts_are_linked(spark):
             texts += [" ".join(w), " ".join(w[:-k])]
     got = {r["doc_id"]: r["component_id"] for r in jaccard.link(frame(spark, texts)).collect()}
     assert got == dict(enumerate(linked(shingle_sets(texts)))) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_long_items_are_found(spark):
+    rng = random.Random(13)
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n))) for n in (40, 66, 130, 400, 1000)]
+    filler = [" ".join(words(rng, 500)) for _ in items]
+    texts = [f"{a[:700]} {t} {a[700:]}" for a, (_, t) in zip(filler, items)]
+    texts += [" ".join(t.split()[: n // 4]) for n, t in items] + filler
+    rows = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(i, n) for i, (n, _) in enumerate(items)]
+    assert all(r["question_overlap"] == 1 and r["answer_overlap"] == 1 for r in rows)
