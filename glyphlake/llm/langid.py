@@ -66,16 +66,15 @@ class Profiles:
         is_letter = np.zeros(len(points), bool)
         if len(alpha):
             is_letter = alpha[np.minimum(at, len(alpha) - 1)] == points
-        keep = is_letter | np.concatenate([[True], is_letter[:-1]])  # one blank after each word
+        some = np.bincount(owner[is_letter].astype(np.int64), minlength=len(raw)) > 0
+        keep = is_letter | np.concatenate([[True], is_letter[:-1] | (owner[1:] != owner[:-1])])  # one blank before each text and after each word
         letters, owner = np.where(is_letter, points, 32)[keep].astype(np.uint64), owner[keep]
-        out, some = np.zeros((len(raw), self.dim), np.float32), np.zeros(len(raw), bool)
-        if len(letters) < 3 or not len(alpha):
-            some[owner[letters != 32].astype(np.int64)] = True
+        out = np.zeros((len(raw), self.dim), np.float32)
+        if not len(alpha):
             return out, some
         same = (owner[2:] == owner[:-2]) & (letters[1:-1] != 32)
         code = (letters[:-2] | letters[1:-1] << np.uint64(21) | letters[2:] << np.uint64(42))[same]
         owner = owner[2:][same]
-        some[owner.astype(np.int64)] = True
         distinct, which = np.unique(code, return_inverse=True)
         if len(distinct) > self.keep:  # too many to hold: in halves of the texts, or of one text's trigrams
             half = len(raw) // 2

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from test_operators import frame, linked, shingle_sets, words
 
-from glyphlake.llm import decontam, jaccard, lm
+from glyphlake.llm import decontam, jaccard, langid, lm
 
 
 def test_language_model_learns_from_all_rows(spark, monkeypatch):
@@ -54,3 +55,14 @@ def test_long_items_are_found(spark):
     rows = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(i, n) for i, (n, _) in enumerate(items)]
     assert all(r["question_overlap"] == 1 and r["answer_overlap"] == 1 for r in rows)
+
+
+def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
+    texts = ["the quick fox", "A.", "1 b", "über", "", "12"]
+    all_, some = langid.Profiles().vectors(texts)
+    assert some.tolist() == [True, True, True, True, False, False]
+    for k, t in enumerate(texts):
+        alone, has = langid.Profiles().vectors([t])
+        assert np.array_equal(alone[0], all_[k]) and has[0] == some[k]
+    docs = frame(spark, ["abc abd"] * 40 + ["A."], lang="en").coalesce(1)
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"en"}
