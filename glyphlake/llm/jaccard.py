@@ -3,11 +3,12 @@
 Jaccard distance is a metric. The join is exact (shingles are 64-bit hashes):
 
 1. Documents of equal sets become one class, which its set's hash names.
-2. Of the first L = 35 % of each set's shingles in hash order, two linked sets have at least
-   max(1, 0.12 a) in common that are among the first of both, for either's size a (a test goes
-   through the sizes). Sets with fewer shared shingles among their first L have no partner. By
-   the same count, ordered from the rarest shingle on, linked sets share one of their first
-   L - max(1, 0.12 a) + 1. These shingles tie candidates together; the connected ones form cells.
+2. A set of a shingles differs from a linked one by at most a/5 of its own or a/4 of the
+   other's. So of the first L = 35 % of each set's shingles in hash order, at least
+   ``least_common(a)`` are among the first of both (a test goes through the sizes). Sets with
+   fewer shared shingles among their first L have no partner. By the same count, ordered from
+   the rarest shingle on, linked sets share one of their first L - least_common(a) + 1. These
+   shingles tie candidates together; the connected ones form cells.
 3. A cell too large for one task is divided by pivots: each set goes to its nearest pivot's
    Voronoi region, if it is within RADIUS of it, and else to the region of the far (pivots of
    regions lie apart, so that a family has one). A set on
@@ -76,6 +77,11 @@ def first(n: int) -> int:
     return -(-35 * n // 100)
 
 
+def least_common(n: int) -> int:
+    """How many of the first shingles of both a set of n shingles has in common with any linked set, at least."""
+    return min(first(n) - n // 5, first(n + n // 4) - n // 4)
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
     """doc_id, rid, sig (null for an empty set), n."""
 
@@ -124,7 +130,7 @@ def cells(docs: DataFrame, sets: DataFrame) -> DataFrame:
     size = sets.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"))
     n = F.col("n")
     able = known.groupBy("sig").agg(F.count("*").alias("m")).join(size, "sig")
-    able = able.withColumn("front", -F.floor(-35 * n / 100)).withColumn("least", F.greatest(F.lit(1), -F.floor(-12 * n / 100))).where("m >= least")
+    able = able.withColumn("least", F.least(-F.floor(-35 * n / 100) - F.floor(n / 5), -F.floor(-35 * (n + F.floor(n / 4)) / 100) - F.floor(n / 4))).where("m >= least")
     able = able.select("sig", (F.col("m") - F.col("least") + 1).alias("keys"))  # shingles of one set only come first
     rank = F.row_number().over(Window.partitionBy("sig").orderBy("c", "h"))
     keys = materialise(known.join(able, "sig").withColumn("r", rank).where("r <= keys").select("h", "sig"), "jaccard-keys")

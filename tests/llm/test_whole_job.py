@@ -25,14 +25,14 @@ def test_language_model_learns_from_all_rows(spark, monkeypatch):
 
 
 def test_front_bound_holds_for_all_sizes():
-    """Linked sets have max(1, 0.12 n) of the first shingles of both in common, however the other shingles fall."""
+    """Linked sets have so many of the first shingles of both in common, however the other shingles fall."""
     for both in range(1, 400):
         for x in range(both // 4 + 1):
             for y in range(both // 4 + 1):
                 if 100 * both >= 80 * (both + x + y):
                     a, b = both + x, both + y
                     common = min(both, jaccard.first(a) - x, jaccard.first(b) - y)
-                    assert common >= max(1, *(-(-12 * n // 100) for n in (a, b))), (a, b)
+                    assert common >= max(jaccard.least_common(a), jaccard.least_common(b)) >= 1, (a, b)
 
 
 def test_short_texts_are_linked(spark):
