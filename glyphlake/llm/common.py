@@ -25,18 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="glyphlake-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-_WRITTEN: dict[int, str] = {}
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
 
@@ -48,13 +47,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
-    _WRITTEN[id(out)] = path
+    out.written_at = path
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Deletes a table that ``materialise`` wrote and that nothing reads any more."""
-    path = _WRITTEN.pop(id(df), None)
+    path = vars(df).pop("written_at", None)
     if path:
         jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -104,6 +103,11 @@ def word_hashes(texts, lower: bool = False, bare: bool = False) -> tuple[np.ndar
     """64-bit hashes of all words of all texts, the n+1 word bounds of the texts, and each word's byte start and end.
 
     bare: ASCII punctuation parts words, too."""
+    return word_places(texts, lower, bare)[:4]
+
+
+def word_places(texts, lower: bool = False, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``word_hashes`` gives, and the bytes that the places refer to."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if lower:
@@ -115,12 +119,12 @@ def word_hashes(texts, lower: bool = False, bare: bool = False) -> tuple[np.ndar
     ends = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]])) if len(buf) else starts
     bounds = np.searchsorted(starts, edges)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds, starts, ends
+        return np.zeros(0, np.uint64), bounds, starts, ends, buf
     length = ends - starts
     at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     h = _BYTE[buf[np.flatnonzero(~space)]] * powers(_WORD_BASE, int(length.max()))[at]
     h = np.add.reduceat(h, np.cumsum(length) - length)
-    return mix64(h + length.astype(np.uint64)), bounds, starts, ends
+    return mix64(h + length.astype(np.uint64)), bounds, starts, ends, buf
 
 
 def batches(frames, limit: int, column: str = "text"):

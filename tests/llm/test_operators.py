@@ -350,18 +350,102 @@ def test_each_token_is_scored_once():
         assert sorted(goal[scored].tolist()) == list(range(n + 3))
 
 
+def small_model(seed=2, n=2000):
+    rng, opens = np.random.default_rng(seed), np.arange(lm.IDS) % 3 == 0
+    opens[lm.END] = True
+    ids = np.append(rng.zipf(1.3, n) % 300, lm.END)
+    return lm.trained(ids, np.array([0, len(ids)]), opens, epochs=1), ids, opens
+
+
 def test_model_is_a_distribution():
-    rng = np.random.default_rng(2)
-    ids = np.append(rng.integers(0, 300, 2000), lm.END)
-    model = lm.trained(ids, np.array([0, len(ids)]), epochs=1)
-    some = np.arange(lm.IDS)
-    # all continuations of one context, each as a text of its own
-    total = 0.0
-    for part in np.array_split(some, 20):
-        seq = np.stack([np.full(len(part), 5), part], axis=1).ravel()
-        first = lm.scores(model, np.full(1, 5), np.array([0, 1]))[0]
-        total += np.exp(lm.scores(model, seq, np.arange(0, len(seq) + 1, 2)) - first).sum()
-    assert total == pytest.approx(1, abs=1e-3)
+    model, _, _ = small_model()
+    # all continuations of some contexts, each as a text of its own
+    for context in ([5], [6, 7], [3, 7, 8], [3, 1, 2, 4]):
+        total, n = 0.0, len(context)
+        for part in np.array_split(np.arange(lm.IDS), 20):
+            seq = np.concatenate([np.tile(context, (len(part), 1)), part[:, None]], axis=1).ravel()
+            first = lm.scores(model, np.array(context), np.array([0, n]))[0]
+            total += np.exp(lm.scores(model, seq, np.arange(0, len(seq) + 1, n + 1)) - first).sum()
+        assert total == pytest.approx(1, abs=1e-3)
+
+
+def test_scores_equal_a_plain_model():
+    """Token by token: attention over the window, classes, shares, pairs and triples."""
+    model, ids, opens = small_model()
+    pairs, triples = collections.Counter(), collections.Counter()
+    seq = ids.tolist()
+    for i, x in enumerate(seq):
+        one = seq[i - 1] if i else lm.END
+        pairs[one, x] += 1
+        if not opens[one]:
+            triples[seq[i - 2], one, lm.END if opens[x] else x] += 1
+    kind, count_of = model["kind"], np.bincount(ids, minlength=lm.IDS)
+    class_of = np.bincount(kind, count_of + 0.02, lm.CLASSES)
+
+    def mixed(n, context, p):
+        same = {k[-1]: v for k, v in n.items() if k[:-1] == context}
+        if same:
+            p = p * len(same)
+            for x, v in same.items():
+                p[x] += v
+            p /= sum(same.values()) + len(same)
+        return p
+
+    def plain(text):
+        inputs, out = [lm.END, *text[:-1]], 0.0
+        for i, x in enumerate(text):
+            k = max(0, -(-(i - lm.WINDOW + 1) // lm.STRIDE))  # its window
+            own = inputs[k * lm.STRIDE : i + 1]
+            s = [float(model["Q"][own[-1]] @ model["K"][j]) + float(model["b"][len(own) - 1 - m]) for m, j in enumerate(own)]
+            w = np.exp(np.array(s) - max(s))
+            y = model["R"][own[-1]] + (w / w.sum()) @ model["V"][own]
+            z = np.exp(y @ model["O"] + model["o"])
+            p = z[kind] / z.sum() * (count_of + 0.02) / class_of[kind]
+            p = mixed(pairs, (inputs[i],), p)
+            if not opens[inputs[i]]:
+                events = np.where(opens, 0, p)
+                events[lm.END] = p[opens].sum()
+                events = mixed(triples, (inputs[i - 1], inputs[i]), events)
+                p = np.where(opens, p * events[lm.END] / p[opens].sum(), events)
+            out += np.log(p[x])
+        return out
+
+    rng = np.random.default_rng(5)
+    texts = [[*(rng.zipf(1.3, n) % 320).tolist(), lm.END] for n in (0, 1, 14, 15, 16, 17, 40, 75)]
+    got = lm.scores(model, np.concatenate([np.array(t) for t in texts]), np.cumsum([0, *map(len, texts)]))
+    assert got == pytest.approx([plain(t) for t in texts], rel=1e-4)
+
+
+def test_language_model_gradients():
+    """Against differences of the loss."""
+    rng = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) for k, v in lm.start().items()}
+    E, src = rng.normal(0, 1, (30, lm.DIM)), rng.integers(0, 30, (3, lm.WINDOW))
+    want, use = rng.integers(0, lm.CLASSES, src.shape), rng.random(src.shape) < 0.8
+
+    def loss():
+        Q, K, V, R = np.split(E[src] @ p["W"], 4, axis=2)
+        A = lm.softmax(Q @ K.transpose(0, 2, 1) * lm.DIM**-0.5 + p["b"][lm._BACK] + lm._MASK)
+        D = lm.softmax((R + A @ V) @ p["O"] + p["o"])
+        return -(np.log(np.take_along_axis(D, want[..., None], 2)[..., 0]) * use).sum() / use.sum()
+
+    g = lm.gradients(p, E, src, want, use)
+    for k, at in [("W", (1, c * lm.DIM + 2)) for c in range(4)] + [("O", (2, 3)), ("o", (1,)), ("b", (2,))]:
+        keep = p[k][at]
+        p[k][at] = keep + 1e-3
+        up = loss()
+        p[k][at] = keep - 1e-3
+        assert (up - loss()) / 2e-3 == pytest.approx(g[k][at], abs=2e-4)
+        p[k][at] = keep
+
+
+def test_counts_by_code():
+    rng = np.random.default_rng(6)
+    code, n = np.unique(rng.integers(0, 1 << 40, 5000)), None
+    n = rng.integers(1, 99, len(code))
+    found = lm.Counts(code, n)
+    assert (found.n[found.find(code)] == n).all() and (found.n[found.find(code[1:] - (np.diff(code) > 1))][np.diff(code) > 1] == 0).all()
+    assert lm.Counts(code[:0], n[:0]).n[lm.Counts(code[:0], n[:0]).find(code)].sum() == 0
 
 
 def test_runs_cover_all_windows():

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from conftest import DATA
 from test_operators import frame, linked, shingle_sets, words
 
 from glyphlake.llm import decontam, jaccard, langid, lm
@@ -16,12 +17,26 @@ def test_language_model_learns_from_all_rows(spark, monkeypatch):
     docs = frame(spark, texts)
     few, more = ({r["doc_id"]: r["score"] for r in lm.score(d, fit=0).collect()} for d in (docs, docs.repartition(7)))
     assert few[100] > few[101] + 3 and few == more
-    ids, bounds, _, _ = lm.sequences(texts, lm.Subwords(lm.VOCABULARY))
-    kind = lm.classes(*(lambda n: (n, *lm.pair_counts(ids, lm.frequent(n))))(lm.np.bincount(ids, minlength=lm.IDS)))
+    coder = lm.Subwords.at(lm.VOCABULARY)
+    ids, bounds = lm.sequences(texts, coder)[:2]
+    count, (pairs, triples) = np.bincount(ids, minlength=lm.IDS), lm.followers(ids, bounds, coder.opens)
+    seen, x = lm.neighbours(count, *pairs)
+    kind, E = lm.classes(seen, x, count), np.random.default_rng(1).normal(0, 1, (lm.IDS, lm.DIM)).astype(np.float32)
     p = lm.start()
-    new = lm.averaged(docs.selectExpr("doc_id as rid", "text", "true as train"), p, kind, 3, lm.VOCABULARY)
-    start, end = (lm.scores(lm.tables(x, kind, lm.np.bincount(ids, minlength=lm.IDS)), ids, bounds).sum() for x in (p, new))
-    assert end > start
+    with open(lm.VOCABULARY, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    codes = lm.coded(docs.selectExpr("doc_id", "doc_id as rid", "text", "true as train"), ranks)
+    new = lm.averaged(codes, p, E, kind, 3)
+    memory = lm.Memory(lm.Counts(*pairs), lm.Counts(*triples), coder.opens)
+    first, last = (lm.attended(lm.tables(x, E, kind, count, memory), ids, bounds)[0].sum() for x in (p, new))
+    assert last > first
+
+
+def test_language_model_beats_its_base(spark):
+    """On held-out documents, a word, from about four million words on."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
+    r = lm.score(docs).where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert r[0] > r[1]
 
 
 def test_front_bound_holds_for_all_sizes():
