@@ -36,14 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
 
+    by: a column of few values; a filter on it reads only files of its own.
     Shuffle files of finished steps go once the JVM has collected their handles, so it is asked to.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(schema).parquet(path)
