@@ -8,6 +8,7 @@ changes A-Z only, so both are used on UTF-8 bytes throughout.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -52,6 +53,18 @@ def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While it lasts, Python functions get that many rows at a time, at most: for rows of many kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table that ``materialise`` wrote and that nothing reads any more."""
     path = vars(df).pop("written_at", None)
