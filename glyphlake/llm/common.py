@@ -37,22 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str, by: str | None = None, dense: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
 
     by: a column of few values; a filter on it reads only files of its own.
-    Shuffle files of finished steps go once the JVM has collected their handles, so it is asked to.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
+    writer = df.write.option("compression", "zstd") if dense else df.write
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.written_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Asks for the collection of finished steps' handles, whose shuffle files Spark then deletes; nothing depends on it but disk."""
+    gc.collect()
+    jvm = getattr(getattr(spark, "sparkContext", None), "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """While it lasts, Python functions get that many rows at a time, at most: for rows of many kilobytes."""
