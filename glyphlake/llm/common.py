@@ -41,6 +41,7 @@ def materialise(df: DataFrame, label: str, by: str | None = None, dense: bool =
     """Writes df to the shared folder and reads it back, which cuts its lineage and survives lost executors.
 
     by: a column of few values; a filter on it reads only files of its own.
+    dense: smaller files for more work.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

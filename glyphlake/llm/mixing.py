@@ -23,6 +23,7 @@ from .common import WORD, materialise
 
 ROUNDS = 16
 LOT = 4096  # slots that are generated together
+PART = 256  # documents of a source that are sorted together
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -68,18 +69,34 @@ def permuted(x: Column, n: Column, tweak: list[Column], inverse: bool = False) -
     return F.aggregate(rounds, x.cast("long"), step)
 
 
+def begun(rows: DataFrame, index: str, value: str, width: int = 1024) -> DataFrame:
+    """rows(key, index, value), one a key and index, with ``begin``, the values' sum over smaller indexes of the key.
+
+    Indexes are summed in stretches of ``width`` and within them, so that no task sorts all of a key.
+    """
+    rows = rows.withColumn("stretch", F.floor(F.col(index) / width))
+    before = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("key", "stretch").agg(F.sum(value).alias("all"))
+    tops = tops.select("key", "stretch", F.coalesce(F.sum("all").over(before("stretch", "key")), F.lit(0)).alias("top"))
+    inner = F.coalesce(F.sum(value).over(before(index, "key", "stretch")), F.lit(0))
+    return rows.withColumn("begin", inner).join(tops, ["key", "stretch"]).withColumn("begin", F.col("begin") + F.col("top")).drop("stretch", "top")
+
+
+def tasks(df: DataFrame) -> int:
+    """How many tasks a step with much to make from few rows gets; Spark would join them by what they read."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def streamed(base: DataFrame) -> DataFrame:
     """base with ``off``, the place of the document's first word in its source's stream.
 
-    A source is split by hash into parts of a few thousand documents, so that no task sorts
+    A source is split by hash into parts of a few hundred documents, so that no task sorts
     a whole source; the parts' sums give where each part begins.
     """
     largest = base.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    base = base.withColumn("part", F.pmod("h", F.lit(largest // LOT + 1)))
+    base = base.withColumn("part", F.pmod("h", F.lit(largest // PART + 1)))
     own = Window.partitionBy("key", "part").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
-    parts = base.groupBy("key", "part").agg(F.sum("size").alias("s"))
-    begin = F.coalesce(F.sum("s").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("key", "part", begin.alias("begin"))
+    parts = begun(base.groupBy("key", "part").agg(F.sum("size").alias("s")), "part", "s").drop("s")
     off = F.col("begin") + F.coalesce(F.sum("size").over(own), F.lit(0))
     return base.join(parts, ["key", "part"]).withColumn("off", off).drop("part", "begin")
 
@@ -92,14 +109,14 @@ def drawn(goal: DataFrame, block: int = 1024, seed: int = 0) -> DataFrame:
     shards = goal.agg(F.ceil(F.coalesce(F.sum("slots"), F.lit(0)) / LOT).alias("shards"))
     goal = goal.crossJoin(F.broadcast(shards))  # one row, made by an aggregate
     lots = goal.select("key", "shards", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / LOT))).alias("lot"))
-    lots = lots.repartition("key", "lot")  # few sources, many slots
+    lots = lots.repartition(tasks(lots), "key", "lot")  # few sources, many slots
     draws = (
         lots.select("key", "shards", F.explode(F.sequence(F.col("lot") * LOT, F.least((F.col("lot") + 1) * LOT, "slots") - 1)).alias("k"))
         .groupBy("key", F.pmod(F.xxhash64(F.lit(seed), "key", "k"), F.col("shards")).alias("shard"))
         .agg(F.count("*").alias("m"))
     )
-    first = F.coalesce(F.sum("m").over(Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = draws.withColumn("first", first).select("key", "shard", F.explode(F.sequence("first", F.col("first") + F.col("m") - 1)).alias("slot"))
+    first = begun(draws, "shard", "m").repartition(tasks(draws), "key", "shard")
+    slots = first.select("key", "shard", F.explode(F.sequence("begin", F.col("begin") + F.col("m") - 1)).alias("slot"))
     slots = slots.join(goal, "key")
     turn, q, n = F.col("turn"), F.col("q"), F.col("n")
     slots = slots.withColumn("turn", F.floor(F.col("slot") / n)).withColumn("q", F.col("slot") % n)
