@@ -3,7 +3,7 @@
 Overlapping heuristic labellers each vote good, bad or nothing on a document. How often each
 pattern of votes occurs is counted over all documents; expectation-maximisation on these
 counts estimates each labeller's accuracies and the share of good documents, without any
-true label, and gives every pattern a posterior. A linear scorer on hashed features (words,
+true label, and gives every pattern a posterior; texts without words are bad beforehand. A linear scorer on hashed features (words,
 character trigrams of their shapes, and the labellers' measures) then learns the posteriors of a
 bounded sample of documents and scores every whole text, also where no labeller votes.
 
@@ -83,22 +83,39 @@ def votes(m: np.ndarray) -> np.ndarray:
     ).astype(np.int8)
 
 
+def ordered(p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """p[labeller, class, vote], changed where a labeller would vote good rather on bad documents, or bad on good ones.
+
+    There both classes get the common rate, which is the best among those that are no worse than chance.
+    """
+    common = (p * weight[None, :, None]).sum(axis=1) / weight.sum()
+    for v, wrong in ((2, p[:, 0, 2] > p[:, 1, 2]), (0, p[:, 1, 0] > p[:, 0, 0])):
+        p[wrong, :, v] = common[wrong, None, v]
+    p[:, :, 1] = np.maximum(1e-9, 1 - p[:, :, 0] - p[:, :, 2])
+    return p
+
+
 def estimated(patterns: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of each pattern, p[labeller, true class, vote], and the share of good documents.
 
-    The classes are told apart by the start: a document with any bad vote is likelier bad.
+    No labeller is taken to be worse than chance, which keeps the classes' names. EM starts
+    from every split by the number of good votes less bad ones; the likeliest end counts.
     """
-    p, each = np.zeros((patterns.shape[1], 2, 3)), np.arange(patterns.shape[1])
-    post, good = np.where((patterns < 0).any(axis=1), 0.1, 0.95), 0.5
-    for _ in range(rounds):
-        good = float(np.clip((post * count).sum() / count.sum(), 0.01, 0.99))
-        for c, w in ((0, (1 - post) * count), (1, post * count)):
-            for v in (0, 1, 2):
-                p[:, c, v] = ((patterns == v - 1) * w[:, None]).sum(axis=0) + 1.0
-        p /= p.sum(axis=2, keepdims=True)
-        say = [np.log(p[each, c, patterns + 1]).sum(axis=1) for c in (0, 1)]
-        post = 1 / (1 + np.exp(np.clip(say[0] + np.log(1 - good) - say[1] - np.log(good), -500, 500)))
-    return post, p, good
+    each, lead, best = np.arange(patterns.shape[1]), patterns.sum(axis=1), None
+    some = [patterns == v for v in (-1, 0, 1)]
+    for cut in np.unique(lead):
+        post = np.where(lead >= cut, 0.9, 0.1)
+        for _ in range(rounds):
+            good = float(np.clip((post * count).sum() / count.sum(), 0.005, 0.995))
+            weight = np.stack([(1 - post) * count, post * count])
+            p = np.stack([(weight @ s).T for s in some], axis=2) + 0.1
+            p = ordered(p / p.sum(axis=2, keepdims=True), weight.sum(axis=1) + 0.3)
+            say = [np.log(p[each, c, patterns + 1]).sum(axis=1) + np.log(share) for c, share in ((0, 1 - good), (1, good))]
+            post = 1 / (1 + np.exp(np.clip(say[0] - say[1], -500, 500)))
+        likelihood = float((np.logaddexp(*say) * count).sum())
+        if best is None or likelihood > best[0] + 1e-9:
+            best = likelihood, post, p, good
+    return best[1:]
 
 
 def hashed(texts, m: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -147,9 +164,11 @@ def classify(docs: DataFrame, fit: int = 2000) -> DataFrame:
     seen = docs.select("text").mapInPandas(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     number = np.array([r["pattern"] for r in seen], np.int64)
     patterns = number[:, None] // power % 3 - 1
-    post = estimated(patterns, np.array([r["n"] for r in seen], float))[0] if seen else np.zeros(0)
     posterior = np.full(3 ** len(LABELLERS), 0.5)
-    posterior[number] = post
+    wordless = patterns[:, 0] < 0
+    posterior[number[wordless]] = 0.0  # known to be bad, and no evidence for the rest
+    if (~wordless).any():
+        posterior[number[~wordless]] = estimated(patterns[~wordless, 1:], np.array([r["n"] for r in seen], float)[~wordless])[0]
 
     ids = docs.select(F.xxhash64("doc_id", "text").alias("rid")).orderBy("rid").limit(fit)
     chosen = [r["rid"] for r in ids.collect()]
