@@ -1,12 +1,14 @@
 """What the operators must do on all of their input."""
 
+import collections
 import random
 
 import numpy as np
+import pytest
 from conftest import DATA
 from test_operators import frame, linked, shingle_sets, words
 
-from glyphlake.llm import decontam, jaccard, langid, lm
+from glyphlake.llm import decontam, jaccard, langid, lm, mixing, quality, toxicity
 
 
 def test_language_model_learns_from_all_rows(spark, monkeypatch):
@@ -81,3 +83,71 @@ def test_language_of_a_text_does_not_depend_on_its_neighbours(spark):
         assert np.array_equal(alone[0], all_[k]) and has[0] == some[k]
     docs = frame(spark, ["abc abd"] * 40 + ["A."], lang="en").coalesce(1)
     assert {r["lang_pred"] for r in langid.identify(docs).collect()} == {"en"}
+
+
+@pytest.mark.parametrize("bad", [0.02, 0.1, 0.3, 0.5])
+def test_weak_labels_keep_their_names(bad):
+    """Votes drawn from known accuracies: the estimated share and posteriors tell the true classes."""
+    rng = np.random.default_rng(int(bad * 100))
+    good = rng.random(6000) >= bad
+    right, says = np.array([0.9, 0.8, 0.75, 0.85, 0.7, 0.95, 0.5]), rng.random((6000, 7)) < 0.8
+    vote = np.where(rng.random((6000, 7)) < right, 1, -1) * np.where(good, 1, -1)[:, None] * says
+    patterns, which, n = np.unique(vote, axis=0, return_inverse=True, return_counts=True)
+    post, p, share = quality.estimated(patterns, n.astype(float))
+    assert abs(share - (1 - bad)) < 0.03 and ((post[which.ravel()] >= 0.5) == good).mean() > 0.95
+    assert (p[:, 1, 2] >= p[:, 0, 2] - 1e-9).all() and (p[:, 0, 0] >= p[:, 1, 0] - 1e-9).all()
+
+
+def test_quality_agrees_with_labels(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs).join(labels.where("quality in (0, 1)"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == y] for y in (1, 0))
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+
+
+def test_toxicity_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.classify(docs, labels).where("held_out").join(labels.where("toxic in (0, 1)"), "doc_id").select("score", "toxic").collect()
+    toxic, clean = ([r["score"] for r in rows if r["toxic"] == y] for y in (1, 0))
+    assert len(toxic) >= 5 and np.mean([a > b for a in toxic for b in clean]) > 0.75 and np.mean(np.array(clean) < 0.5) > 0.9
+
+
+def test_taken_words_equal_a_plain_mix(spark):
+    """Slots are met with streams of words, word by word; each pass over a source takes each block once."""
+    rng, block = random.Random(21), 16
+    texts = [" ".join(words(rng, rng.randrange(0, 60))) for _ in range(150)] + [None]
+    docs = frame(spark, texts + texts[:3], source=[["a", "a", "b", None][i % 4] for i in range(154)])
+    docs = docs.unionByName(docs.where("doc_id in (1, 2, 150)"))
+    base = mixing.sized(docs)
+    stream = mixing.streamed(base).collect()
+    slots = mixing.drawn(mixing.targets(base), block).collect()
+    want = collections.Counter()
+    for key in {r["key"] for r in stream}:
+        at = {}
+        for r in stream:
+            if r["key"] == key:
+                for k in range(r["size"]):
+                    assert r["off"] + k not in at
+                    at[r["off"] + k] = (r["doc_id"], r["off"])
+        assert sorted(at) == list(range(len(at)))
+        own = sorted((r["slot"], r["blk"], r["take"]) for r in slots if r["key"] == key)
+        n = -(-len(at) // block)
+        for turn in range(0, len(own), max(1, n)):
+            assert len({b for _, b, _ in own[turn : turn + n]}) == len(own[turn : turn + n])
+        for _, b, take in own:
+            for k in range(b * block, min(b * block + take, len(at))):
+                want[at[k]] += 1
+    got = collections.Counter()
+    for r in mixing.mix(docs, block=block).collect():
+        got[r["doc_id"]] += r["taken"]
+    each = collections.Counter()
+    for (doc_id, _), c in want.items():
+        each[doc_id] += c
+    assert {k: v for k, v in got.items() if v} == dict(each)
+
+
+def test_running_sums(spark):
+    rng = random.Random(22)
+    rows = [("k" + str(k), i, rng.randrange(9)) for k in range(2) for i in range(50) if rng.random() < 0.8]
+    got = {(r["key"], r["i"]): r["begin"] for r in mixing.begun(spark.createDataFrame(rows, "key string, i long, v long"), "i", "v", 7).collect()}
+    assert got == {(k, i): sum(v for k2, j, v in rows if k2 == k and j < i) for k, i, _ in rows}
