@@ -83,6 +83,27 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+HEAVY = 1 << 16  # keys that are sent to all tasks, at most
+
+
+def matched(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """rows joined with ``table``, which has one row a key and in ``weight`` how many rows hold the key.
+
+    The heaviest keys, all of at least 2**k rows for the least k that leaves at most HEAVY of
+    them, are sent to all tasks; rows of the others meet in a shuffle, where no key is heavy.
+    ``table`` is read several times, so it should be written.
+    """
+    tails = table.agg(*[F.count_if(F.col(weight) >= 2**k).alias(str(k)) for k in range(48)]).first()
+    k = next(k for k in range(48) if (tails[str(k)] or 0) <= HEAVY)
+    heavy = F.broadcast(table.where(F.col(weight) >= 2**k).drop(weight))
+    if k == 0:
+        return rows.join(heavy, on)
+    rest = [c for c in table.columns if c not in (*on, weight)]
+    marked = rows.join(heavy.select(*on, F.struct(F.lit(True).alias("heavy"), *rest).alias("__own")), on, "left")
+    light = marked.where("__own is null").drop("__own").join(table.where(F.col(weight) < 2**k).drop(weight), on)
+    return marked.where("__own is not null").select(*rows.columns, *[F.col(f"__own.{c}").alias(c) for c in rest]).unionByName(light)
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, matched, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) to id, label: the least id that each id is connected with. Ids without edges are left out.
 
     Alternates large stars (neighbours above a node move to its least neighbour) and small
-    stars (those below do), until nothing changes.
+    stars (those below do), until nothing changes. Nodes of the most edges meet these without a shuffle.
     """
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
@@ -22,10 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).union(edges.select("v", "v").distinct()).groupBy("id").agg(F.min("label").alias("label"))
         state, old = seen, edges
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).where("u <> v").distinct()
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "stars")
+        large = matched(both.where("v > u"), least, ["u"], "c").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialise(large, "stars")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "stars")
+        small = matched(large, lower, ["u"], "c")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", "m")).where("u <> v").distinct()
         edges = materialise(small, "edges")
-        discard(old)
+        for done in (old, least, large, lower):
+            discard(done)

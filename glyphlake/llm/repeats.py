@@ -16,7 +16,8 @@ In each pass a bucket of one row holds no repeated window and goes. Where all ro
 bucket have the same tokens, or some rows of it do, those rows' windows are repeated and
 done. One row of each kind in a mixed bucket goes on to the next pass.
 
-Buckets are only counted, with partial sums before each shuffle; no group is collected.
+Buckets are only counted, with partial sums before each shuffle; no group is collected. Rows
+meet the few largest buckets without a shuffle.
 Digits are 64-bit hashes, the last one is of 128 bits.
 """
 
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, byte_buffer, discard, materialise, mix64, powers, word_hashes
+from .common import batches, byte_buffer, discard, matched, materialise, mix64, powers, word_hashes
 
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASE)
@@ -188,12 +189,13 @@ def one_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repeated rows (rid, lo, n), and the rows that go on (rid, lo, n, off)."""
     rows = materialise(rows, "repeat-rows")
     buckets = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    buckets = buckets.where("c > 1").select("h", (F.col("a") == F.col("b")).alias("same"))
-    hit = materialise(rows.join(buckets, "h"), "repeat-hits")
+    buckets = materialise(buckets.where("c > 1").select("h", "c", (F.col("a") == F.col("b")).alias("same")), "repeat-buckets")
+    hit = materialise(matched(rows, buckets, ["h"], "c"), "repeat-hits")
     discard(rows)
     mixed = hit.where("not same")
     kinds = mixed.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "n", "off")).alias("one"))
-    twice = mixed.join(kinds.where("c > 1").select("h", "whole"), ["h", "whole"], "left_semi")
+    kinds = materialise(kinds, "repeat-kinds")
+    twice = matched(mixed, kinds.where("c > 1").select("h", "whole", "c"), ["h", "whole"], "c")
     return hit.where("same").select("rid", "lo", "n").unionByName(twice.select("rid", "lo", "n")), kinds.select("one.*")
 
 
