@@ -48,7 +48,6 @@ def materialise(df: DataFrame, label: str, by: str | None = None, dense: bool =
     release(spark)
     writer = df.write.option("compression", "zstd") if dense else df.write
     (writer.partitionBy(by) if by else writer).parquet(path)
-    release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.written_at = path
     return out

@@ -17,7 +17,12 @@ Jaccard distance is a metric. The join is exact (shingles are 64-bit hashes):
    link distance; it is also among the far from RADIUS less the link distance on. All pairs
    with a pivot are decided, so pivots leave, and a set linked with its region's pivot stays
    only if some set that isn't linked comes near enough. A region whose sets are all connected
-   is done. The rest are divided again until they are small.
+   is done. The rest are divided again until they are small. Sets that are all at middle
+   distances, as texts from one template are, would be in all regions: a cell whose regions
+   together hold as many sets as it, or one of which holds over nine tenths, isn't divided so.
+   It is tied anew, by the rarest shingles within it, this time of the whole sets, where linked
+   ones share four fifths. What is still large and can't be divided then is joined in parts of
+   bounded size: a set visits those parts whose sets share one of its rarest shingles.
 4. In a small cell each set in turn is a pivot for those it isn't connected with yet, and
    the first pivot's distances give the windows in which partners can lie.
 
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, discard, materialise, mix64, word_hashes
+from .common import batches, discard, matched, materialise, mix64, word_hashes
 from .graph import components
 
 N = 5
@@ -228,7 +233,7 @@ def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
 
 
 def divided(rows: DataFrame, turn: int, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links between large cells' sets and pivots, and the regions' rows. links: those known so far.
+    """Links between large cells' sets and pivots, and which sets are in which regions. links: those known so far.
 
     A cell is dealt out in parts of bounded size, each beside all pivots of the cell.
     """
@@ -274,27 +279,128 @@ def divided(rows: DataFrame, turn: int, links: DataFrame) -> tuple[DataFrame, Da
     state = inside.groupBy("cell", "region").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"), F.min("label").alias("a"), F.max("label").alias("b"))
     state = state.where("a <> b and least is not null").select("cell", "region", "least")  # sets that are connected need no more links
     stay = inside.join(state, ["cell", "region"]).where(~F.col("linked") | (F.col("d") >= F.col("least") - NEAR - 1e-9))
-    stay = stay.select("cell", "sig", "region").join(rows, ["cell", "sig"])
-    return more, stay.select(F.xxhash64("cell", "region", F.lit(turn)).alias("cell"), "sig", "n", "shingles")
+    return more, materialise(stay.select("cell", "sig", "region"), "jaccard-regions")
 
 
-def all_links(rows: DataFrame) -> DataFrame:
-    """Edges that connect what links connect, from cell rows."""
-    links, turn = None, 0
+def explicit(rows: DataFrame) -> DataFrame:
+    """cell, sig, n, h: every shingle of rows(cell, sig, n, shingles)."""
+
+    def make(frames):
+        for pdf in frames:
+            for a in range(0, len(pdf), 256):
+                own = pdf.iloc[a : a + 256]
+                count = own["n"].to_numpy()
+                yield pd.DataFrame({c: np.repeat(own[c].to_numpy(), count) for c in ("cell", "sig", "n")} | {"h": np.frombuffer(b"".join(own["shingles"]), np.int64)})
+
+    return rows.select("cell", "sig", "n", "shingles").mapInPandas(make, "cell long, sig long, n long, h long")
+
+
+def tied(rows: DataFrame) -> DataFrame:
+    """cell, sig, h, r: each set's shingles, from its cell's rarest on, of which linked sets of the cell share one.
+
+    A linked set shares n - n // 5 of a set's n shingles at least, so sets with fewer that
+    stand in others of the cell are left out, and of m such the m - (n - n // 5) + 1 rarest do.
+    """
+    each = materialise(explicit(rows), "jaccard-explicit")
+    shared = each.groupBy("cell", "h").agg(F.count("*").alias("c")).where("c > 1").withColumn("weight", F.col("c"))
+    known = materialise(matched(each, materialise(shared, "jaccard-counts"), ["cell", "h"], "weight"), "jaccard-shared")
+    discard(each)
+    least = F.col("n") - F.floor(F.col("n") / 5)
+    able = known.groupBy("cell", "sig", "n").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    able = able.select("cell", "sig", (F.col("m") - least + 1).alias("keys"))
+    rank = F.row_number().over(Window.partitionBy("cell", "sig").orderBy("c", "h"))
+    return materialise(known.join(able, ["cell", "sig"]).withColumn("r", rank).where("r <= keys").select("cell", "sig", "h", "r"), "jaccard-ties")
+
+
+def refined(rows: DataFrame) -> DataFrame:
+    """rows with smaller cells: sets that ties connect. Sets without ties leave."""
+    keys = tied(rows).select("cell", "sig", "h", F.xxhash64("cell", "sig").alias("node"))
+    root = keys.groupBy("cell", "h").agg(F.min("node").alias("v"), F.max("node").alias("w"), F.count("*").alias("weight")).where("v <> w")
+    edges = matched(keys, materialise(root.select("cell", "h", "v", "weight"), "jaccard-roots"), ["cell", "h"], "weight")
+    label = components(edges.select(F.col("node").alias("u"), "v"))
+    rows = rows.withColumn("id", F.xxhash64("cell", "sig")).join(label, "id")
+    return rows.select(F.xxhash64("cell", "label").alias("cell"), "sig", "n", "shingles")
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """Edges that connect what links in these cells connect, however large they are.
+
+    A cell is cut in parts of bounded size by each set's rarest tie. A set is compared with all
+    of its part, and visits every later part that holds one of its ties.
+    """
+    keys = tied(rows)
+    size = rows.groupBy("cell").agg((F.count("*") / CELL_SETS + F.sum("n") / CELL_SHINGLES + 1).cast("int").alias("parts"))
+    home = keys.where("r = 1").join(size, "cell").select("cell", "sig", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"))
+    home = materialise(home, "jaccard-homes")
+    placed = keys.join(home, ["cell", "sig"]).select("cell", "h", "sig", "part")
+    held = placed.groupBy("cell", "h").agg(F.collect_set("part").alias("held"), F.count("*").alias("weight")).where("size(held) > 1")
+    visits = matched(placed, materialise(held, "jaccard-held"), ["cell", "h"], "weight")
+    visits = visits.select("cell", "sig", F.explode(F.filter("held", lambda p: p > F.col("part"))).alias("part")).distinct()
+    visits = materialise(visits.join(rows, ["cell", "sig"]).select("cell", "part", "sig", "shingles", F.col("n")), "jaccard-visits")
+    load = visits.groupBy("cell", "part").agg((F.count("*") / CELL_SETS + F.sum("n") / CELL_SHINGLES + 1).cast("int").alias("chunks"))
+    hosts = home.join(rows, ["cell", "sig"]).join(load, ["cell", "part"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    hosts = hosts.select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", "shingles")
+    guests = visits.join(load, ["cell", "part"]).select("cell", "part", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int").alias("chunk"), "sig", "shingles")
+
+    def compare(hosts: pd.DataFrame, guests: pd.DataFrame) -> pd.DataFrame:
+        if not len(hosts):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        sig, sets = hosts["sig"].to_numpy(), [np.frombuffer(b, np.uint64) for b in hosts["shingles"]]
+        out = local_links(sig, sets)
+        first = {}
+        for u, v in out:  # groups as far as edges tell at once; finer ones only cost an edge
+            first[v] = first.get(u, u)
+        group = np.array([first.get(int(x), int(x)) for x in sig])
+        index, size = indexed(sets), np.array([len(s) for s in sets])
+        for name_, b in zip(guests["sig"].tolist(), guests["shingles"]):
+            s = np.frombuffer(b, np.uint64)
+            both = overlaps(*index, len(sets), s)
+            near = np.flatnonzero(LINK[1] * both >= LINK[0] * (size + len(s) - both))
+            out += [(name_, int(sig[near[k]])) for k in np.unique(group[near], return_index=True)[1]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    by = ["cell", "part", "chunk"]
+    return hosts.groupBy(*by).cogroup(guests.groupBy(*by)).applyInPandas(compare, "u long, v long")
+
+
+def all_links(rows: DataFrame, watch: list[int] | None = None) -> DataFrame:
+    """Edges that connect what links connect, from cell rows.
+
+    Each turn decides small cells, and divides large ones where that makes them smaller. A
+    turn's rows are never more than those of the turn before; ``watch`` gets how many they are.
+    """
+    links, turn, rows = None, 0, rows.withColumn("tries", F.lit(0))
     large = (F.col("c") > 2) & ((F.col("c") > CELL_SETS) | (F.col("w") > CELL_SHINGLES))
     while True:
         rows = materialise(rows, "jaccard-cells")
-        weight = rows.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
+        weight = rows.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1").withColumn("weight", F.col("c"))
+        weight = materialise(weight, "jaccard-weights")
         zero = lambda x: F.coalesce(x, F.lit(0))
         sets, shingles_, any_large = weight.agg(zero(F.sum("c")), zero(F.sum("w")), zero(F.max(large.cast("int")))).first()
-        sized = rows.join(weight, "cell")
+        if watch is not None:
+            watch.append(rows.count())
+        sized = matched(rows, weight, ["cell"], "weight")
         bins = int(sets // CELL_SETS + shingles_ // CELL_SHINGLES + 1) * 4
         more = materialise(small_links(sized.where(~large).select("cell", "sig", "shingles"), bins), "jaccard-links")
         links = more if links is None else links.unionByName(more)
         if not any_large:
             return links
-        more, rest = divided(sized.where(large).select("cell", "sig", "n", "shingles"), turn, links)
-        links, rows, turn = links.unionByName(more), rest, turn + 1
+        columns = ["cell", "sig", "n", "shingles"]
+        big = materialise(sized.where(large), "jaccard-large")
+        discard(rows)
+        more, stay = divided(big.select(*columns), turn, links)
+        links = links.unionByName(more)
+        held = stay.groupBy("cell", "region").agg(F.count("*").alias("k")).groupBy("cell").agg(F.sum("k").alias("all"), F.max("k").alias("most"))
+        held = held.join(weight.select("cell", "c"), "cell").where((F.col("all") >= F.col("c")) | (F.col("most") > 0.9 * F.col("c")))
+        whole = materialise(held.select("cell"), "jaccard-whole")  # cells that regions don't divide
+        rest = stay.join(whole, "cell", "left_anti").join(big.select(*columns), ["cell", "sig"])
+        rows = rest.select(F.xxhash64("cell", "region", F.lit(turn)).alias("cell"), "sig", "n", "shingles", F.lit(0).alias("tries"))
+        if whole.count():
+            kept = big.join(whole, "cell", "left_semi")
+            rows = rows.unionByName(refined(kept.where("tries = 0").select(*columns)).withColumn("tries", F.lit(1)))
+            if kept.where("tries > 0").count():
+                links = links.unionByName(materialise(joined(kept.where("tries > 0").select(*columns)), "jaccard-links"))
+        turn += 1
 
 
 def link(docs: DataFrame) -> DataFrame:

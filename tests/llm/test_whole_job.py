@@ -151,3 +151,42 @@ def test_running_sums(spark):
     rows = [("k" + str(k), i, rng.randrange(9)) for k in range(2) for i in range(50) if rng.random() < 0.8]
     got = {(r["key"], r["i"]): r["begin"] for r in mixing.begun(spark.createDataFrame(rows, "key string, i long, v long"), "i", "v", 7).collect()}
     assert got == {(k, i): sum(v for k2, j, v in rows if k2 == k and j < i) for k, i, _ in rows}
+
+
+FAMILIES = {
+    "own tails": lambda rng: [" ".join([f"c{i}" for i in range(60)] + [f"o{k}x{i}" for i in range(40)]) for k in range(300)],
+    "mixed parts": lambda rng: [" ".join(w for j in range(10) for w in [f"p{j}v{rng.randrange(3)}x{i}" for i in range(9)]) for _ in range(120)],
+    "one head, chosen tails": lambda rng: [" ".join([f"c{i}" for i in range(60)] + [f"t{rng.randrange(4)}x{i}" for i in range(20)] + [f"u{rng.randrange(4)}x{i}" for i in range(20)]) for _ in range(150)],
+    "chain": lambda rng: [" ".join(f"w{i}" for i in range(k * 3, k * 3 + 90)) for k in range(100)],
+}
+
+
+@pytest.mark.parametrize("family", FAMILIES)
+def test_families_at_middle_distances(spark, monkeypatch, family):
+    """Large cells end in few turns, the turns' rows never grow, and no link is lost."""
+    monkeypatch.setattr(jaccard, "CELL_SETS", 30)
+    monkeypatch.setattr(jaccard, "PIVOTS", 4)
+    turns, plain = [], jaccard.all_links
+    monkeypatch.setattr(jaccard, "all_links", lambda rows: plain(rows, turns))
+    texts = FAMILIES[family](random.Random(31))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(linked(shingle_sets(texts))))
+    assert all(b <= a for a, b in zip(turns, turns[1:])) and len(turns) <= 16
+
+
+def test_parts_of_a_cell_are_joined_whole(spark, monkeypatch):
+    """The last resort alone, in parts of a few sets."""
+    monkeypatch.setattr(jaccard, "CELL_SETS", 7)
+    rng = random.Random(33)
+    texts = [t for f in FAMILIES.values() for t in f(rng)[:40]]
+    sets = [np.unique(s) for s in jaccard.shingles(texts)]
+    rows = spark.createDataFrame([(1, k, len(s), bytearray(s.tobytes())) for k, s in enumerate(sets)], "cell long, sig long, n long, shingles binary")
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for r in jaccard.joined(rows).collect():
+        a, b = sorted((find(r["u"]), find(r["v"])))
+        root[b] = a
+    assert [find(i) for i in range(len(texts))] == linked(shingle_sets(texts))
