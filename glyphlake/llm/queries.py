@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, jaccard, langid, lm, media, mixing, phrases, quality, suffix, toxicity
 from .common import table
+from .oracles import SQL
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +52,25 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: all but the words taken."""
+    return op1_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: the payloads as they were read back."""
+    return op4_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: all but the model's score."""
+    return op10_lm(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_media": op4_media, "op5_jaccard": op5_jaccard, "op6_decontam": op6_decontam, "op7_langid": op7_langid, "op8_suffix": op8_suffix, "op9_phrases": op9_phrases, "op10_lm": op10_lm}
+    own = [op1_mixing, op2_toxicity, op3_quality, op4_media, op5_jaccard, op6_decontam, op7_langid, op8_suffix, op9_phrases, op10_lm]
+    return {q.__name__: q for q in (*own, mixing_targets, media_payloads, lm_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
