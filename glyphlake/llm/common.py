@@ -82,6 +82,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while f"__{name}" in have:
+        name = f"{name}_"
+    return f"__{name}"
+
+
 HEAVY = 1 << 16  # keys that are sent to all tasks, at most
 
 

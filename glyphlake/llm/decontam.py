@@ -1,9 +1,12 @@
 """Benchmark decontamination: finds documents that hold items of a test set.
 
-The items are indexed with BM25 (terms: lower-case words without ASCII punctuation; words of
-more than 5 % of the items are stop words, but each item keeps its 8 rarest); a term's
-impact on an item is divided by ``share`` of the score that the item gets with its own words,
-so that an item is retrieved when its sum is 1 or more. Documents are cut into passages of
+The items are indexed with BM25 (terms: lower-case words without ASCII punctuation; document
+frequencies and the mean length are those of the whole benchmark); a term's impact on an item
+is divided by ``share`` of the score that the item gets with its own words, so that an item is
+retrieved when its sum is 1 or more. Common words, in over 5 % of the items, have no postings:
+an item's commonest are left out as long as they can add SLACK to its sum at most, and its other
+impacts are divided by 1 less what they can add. So whatever reaches 1 with all words is found,
+and the left-out words are added before it is retrieved. Documents are cut into passages of
 128 words, one every 64. An item of at most 65 words lies whole in one of them; a longer one
 is indexed in segments of at most 64 words, each like an item of its own, so that every
 segment of a copy does. Every passage is a query, and all items above the threshold are
@@ -18,8 +21,9 @@ score is that of its best segment): the item's
 question (its lines but the last, or its first half if the last line has under five words or
 is the only one) and its answer (the rest) must each have ``overlap`` of their distinct word trigrams (words, if fewer than three) there.
 
-Items are taken in lots of about ``lot`` items and segments, each with statistics of its own, so that what is sent to
-the executors is bounded; documents are read once a lot.
+The benchmark comes to the driver (LIMIT characters at most; more raises an error) and is indexed
+in lots of about ``lot`` items and segments. Documents are read once for as many lots as
+INDEX_BYTES hold together, which are sent to the executors.
 
 Defined cases: null or wordless items match nothing, null or wordless texts hold nothing;
 equal items are all reported; equal documents each give their rows; empty tables give no
@@ -34,10 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, word_hashes
+from .common import batches, fresh, word_hashes
 
 PASSAGE, STRIDE, BLOCK = 128, 64, 4
-COMMON, RARE = 0.05, 8
+COMMON, SLACK = 0.05, 0.3
+LIMIT, INDEX_BYTES = 1 << 28, 1 << 27
 K1, B = 1.2, 0.75
 CHARS = 1 << 21
 
@@ -56,10 +61,10 @@ def grams(words: np.ndarray) -> set[tuple[int, ...]]:
     return set(zip(w, w[1:], w[2:])) if len(w) > 2 else {(x,) for x in w}
 
 
-class Index:
-    """Postings of units (items, or the segments of a long one), unit numbers in order, with the greatest impact of each block and term."""
+class Units:
+    """Items, long ones in segments of at most a stride: their distinct terms and counts, unit by unit."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple[int, str]]):
         hashes, bounds, _, _ = word_hashes([t for _, t in items], lower=True, bare=True)
         words = np.diff(bounds)
         units = np.where(words > STRIDE + 1, -(-words // STRIDE), 1)
@@ -67,31 +72,59 @@ class Index:
         part = np.arange(len(self.home)) - np.repeat(np.cumsum(units) - units, units)
         self.words, self.offset = words[self.home], words[self.home] * part // units[self.home]
         bounds = np.append(bounds[:-1][self.home] + self.offset, bounds[-1:])
-        length = np.diff(bounds)
+        self.length = np.diff(bounds)
         own = [np.unique(hashes[a:b], return_counts=True) for a, b in zip(bounds[:-1], bounds[1:])]
+        self.unit = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
+        self.term, self.tf = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.uint64) for k in (0, 1))
+
+
+class Statistics:
+    """How many units hold each term, how many units there are, and their mean length, over all lots."""
+
+    def __init__(self, lots: list[Units]):
+        self.terms, self.df = np.unique(np.concatenate([u.term for u in lots]) if lots else np.zeros(0, np.uint64), return_counts=True)
+        lengths = [u.length for u in lots]
+        self.units, self.mean = sum(map(len, lengths)), sum(int(x.sum()) for x in lengths) / max(1, sum(map(len, lengths)))
+
+
+class Index:
+    """Postings of units, unit numbers in order, with the greatest impact of each block and term."""
+
+    def __init__(self, items: list[tuple[int, str]], share: float, units: Units | None = None, all_: Statistics | None = None):
+        units = units or Units(items)
+        all_ = all_ or Statistics([units])
+        self.home, self.words, self.offset, own = units.home, units.words, units.offset, len(units.home)
         self.ids = [i for i, _ in items]
         self.sides = [[grams(word_hashes([x], lower=True, bare=True)[0]) for x in parts(t)] for _, t in items]
-        item = np.repeat(np.arange(len(own)), [len(t) for t, _ in own])
-        term, tf = (np.concatenate([x[k] for x in own]) if own else np.zeros(0, np.uint64) for k in (0, 1))
-        self.terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        # words of many items are stop words, except an item's rarest few
-        low = df[term] <= max(1, COMMON * len(own))
-        order = np.lexsort((term, df[term], item))
-        place = np.empty(len(term), np.int64)
-        place[order] = np.arange(len(term)) - np.searchsorted(item, np.arange(len(own)))[item]
-        low |= place < RARE
-        item, term, tf = item[low], term[low], tf[low]
-        norm = K1 * (1 - B + B * length / max(1e-9, length.mean() if len(length) else 1))
-        impact = np.log(1 + (len(own) - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[item])
-        impact /= share * np.bincount(item, impact, len(own))[item]
+        self.terms, term = np.unique(units.term, return_inverse=True)
+        df, item = all_.df[np.searchsorted(all_.terms, units.term)], units.unit
+        norm = K1 * (1 - B + B * units.length / max(1e-9, all_.mean))
+        impact = np.log(1 + (all_.units - df + 0.5) / (df + 0.5)) * units.tf * (K1 + 1) / (units.tf + norm[item])
+        impact /= share * np.bincount(item, impact, own)[item]
+        # each unit's commonest words, as long as they add up to little
+        order = np.lexsort((units.term, -df, item))
+        total = np.cumsum(impact[order])
+        before = np.concatenate([[0], total])[np.searchsorted(item, np.arange(own))] if len(item) else total
+        out = np.zeros(len(term), bool)
+        out[order] = (df[order] > max(1, COMMON * all_.units)) & (total - before[item] <= SLACK)
+        self.slack = np.bincount(item[out], impact[out], own)
+        self.left = [{} for _ in range(own)]
+        for u, t, x in zip(item[out].tolist(), term[out].tolist(), impact[out].tolist()):
+            self.left[u][t] = x
+        item, term = item[~out], term[~out]
+        impact = impact[~out] / (1 - self.slack[item])
         order = np.lexsort((item, term))
         self.item, self.impact = item[order], impact[order]
         self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.blocks = np.zeros((len(self.terms) + 1, -(-len(own) // BLOCK) or 1), np.float32)  # greatest impact in each block of items
+        self.blocks = np.zeros((len(self.terms) + 1, -(-own // BLOCK) or 1), np.float32)  # greatest impact in each block of items
         np.maximum.at(self.blocks, (term, item // BLOCK), impact * (1 + 1e-6))
         self.most = self.blocks[:-1].max(axis=1)
         self.cursors: dict[int, tuple] = {}
 
+    def size(self) -> int:
+        """Bytes, about."""
+        return self.blocks.nbytes + 48 * len(self.item) + 200 * sum(len(x) for x in self.sides)
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for words of no item."""
         if not len(self.terms):
@@ -100,7 +133,16 @@ class Index:
         return np.where(self.terms[at] == hashes, at, -1)
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """All units whose impacts on these distinct terms sum to 1 or more."""
+        """All units whose impacts on these distinct terms, common ones included, sum to 1 or more."""
+        have, found = set(terms.tolist()), []
+        for u, score in self.reached(terms):
+            score = score * (1 - self.slack[u]) + sum(x for t, x in self.left[u].items() if t in have)
+            if score >= 1 - 1e-9:
+                found.append((u, float(score)))
+        return found
+
+    def reached(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """All units whose postings' impacts on these distinct terms sum to 1 or more."""
         lists = []
         for t in terms.tolist():
             if t not in self.cursors:
@@ -190,7 +232,8 @@ def matches(index: Index, hashes: np.ndarray, bounds: np.ndarray, overlap: float
     for text, s, unit, score in retrieved(index, hashes, bounds):
         a, b, item = bounds[text], bounds[text + 1], int(index.home[unit])
         at, long = a + s - int(index.offset[unit]), int(index.words[unit]) > STRIDE + 1
-        have = grams(hashes[max(a, at - PASSAGE) : max(a, min(b, at + 2 * PASSAGE + long * int(index.words[unit])))])
+        here = hashes[max(a, at - PASSAGE) : max(a, min(b, at + 2 * PASSAGE + long * int(index.words[unit])))]
+        have = grams(here) | {(x,) for x in here.tolist()}  # sides of one or two words are compared by words
         question, answer = (len(side & have) / len(side) if side else 1.0 for side in index.sides[item])
         if min(question, answer) >= overlap and (score, question, answer) > best.get((text, item), (0.0, 0.0, 0.0)):
             best[text, item] = (score, question, answer)
@@ -201,21 +244,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, over
     """doc_id, item_id, score, question_overlap, answer_overlap, rid: one row for each item that a document holds."""
     items = benchmark.where("text is not null").select("item_id", "text")
     words = F.size(F.split("text", r"\s+"))
-    units = items.agg(F.sum(F.when(words > STRIDE + 1, F.ceil(words / STRIDE)).otherwise(1))).first()[0] or 0
-    lots = int(units) // lot + 1
+    units, chars = items.agg(F.sum(F.when(words > STRIDE + 1, F.ceil(words / STRIDE)).otherwise(1)), F.sum(F.length("text"))).first()
+    if (chars or 0) > LIMIT:
+        raise ValueError(f"the benchmark has {chars} characters; {LIMIT} at most are indexed at once")
+    lots: list[list[tuple[int, str]]] = [[] for _ in range(int(units or 0) // lot + 1)]
+    order = F.pmod(F.xxhash64("item_id", "text"), F.lit(len(lots))).alias("k")
+    for r in items.select("item_id", "text", order).orderBy("k", "item_id", "text").collect():
+        lots[r["k"]].append((r["item_id"], r["text"]))
+    counted = [Units(x) for x in lots]
+    all_ = Statistics(counted)
+    reads: list[list[Index]] = [[]]
+    for own, units_ in zip(lots, counted):
+        index = Index(own, share, units_, all_)
+        if reads[-1] and sum(x.size() for x in reads[-1]) + index.size() > INDEX_BYTES:
+            reads.append([])
+        reads[-1].append(index)
     out, fields = None, "item_id long, score double, question_overlap double, answer_overlap double, rid long"
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(fields)])
-    for k in range(lots):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == k).orderBy("item_id", "text").collect()
-        index = Index([(r["item_id"], r["text"]) for r in own], share)
-        index = docs.sparkSession.sparkContext.broadcast(index)
+    for read in reads:
+        sent = docs.sparkSession.sparkContext.broadcast(read)
 
-        def run(frames, index=index):
+        def run(frames, sent=sent):
             for pdf in batches(frames, CHARS):
                 hashes, bounds, _, _ = word_hashes(pdf["text"], lower=True, bare=True)
                 doc_id, rid = pdf["doc_id"].to_numpy(), pdf["rid"].to_numpy()
-                rows = [(doc_id[d], index.value.ids[i], *rest, rid[d]) for d, i, *rest in matches(index.value, hashes, bounds, overlap)]
+                rows = [(doc_id[d], index.ids[i], *rest, rid[d]) for index in sent.value for d, i, *rest in matches(index, hashes, bounds, overlap)]
                 if rows:
                     yield pd.DataFrame(rows, columns=schema.names)
 
@@ -226,5 +280,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, over
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """All columns of the documents that hold no item."""
-    hit = contaminated(docs, benchmark, **how).select(F.col("rid").alias("__rid")).distinct()
-    return docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(hit, "__rid", "left_anti").select(*docs.columns)
+    key = fresh(docs, "rid")
+    hit = contaminated(docs, benchmark, **how).select(F.col("rid").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(hit, key, "left_anti").select(*docs.columns)

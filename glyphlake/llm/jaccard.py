@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, discard, matched, materialise, mix64, word_hashes
+from .common import batches, discard, fresh, matched, materialise, mix64, word_hashes
 from .graph import components
 
 N = 5
@@ -421,6 +421,7 @@ def link(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """All columns of the document of least id of each group; rows that are equal in id and text count as one."""
-    kept = link(docs).where("component_id <=> doc_id or n_shingles = 0").select(F.col("rid").alias("__rid")).distinct()
-    keyed = docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(kept, "__rid", "left_semi")
-    return keyed.dropDuplicates(["__rid"]).select(*docs.columns)
+    key = fresh(docs, "rid")
+    kept = link(docs).where("component_id <=> doc_id or n_shingles = 0").select(F.col("rid").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(kept, key, "left_semi")
+    return keyed.dropDuplicates([key]).select(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, fresh
 from .repeats import CHARS, Grain, covered, keyed, repeated
 
 BYTES = Grain("bytes", 200, 64, (8, 1))
@@ -32,10 +32,11 @@ def removed(raw: bytes, spans, width: int) -> np.ndarray:
     return covered(len(raw), lo, lo + np.array([x["n"] for x in spans], np.int64) + width - 1)
 
 
-def with_spans(docs: DataFrame, grain: Grain) -> DataFrame:
-    """docs(doc_id, text, ...) with their repeated windows as __spans; null where there are none."""
-    found = repeated(keyed(docs), grain).select(F.col("rid").alias("__rid"), F.col("spans").alias("__spans"))
-    return docs.withColumn("__rid", F.xxhash64("doc_id", "text")).join(found, "__rid", "left")
+def with_spans(docs: DataFrame, grain: Grain, spans: str = "__spans") -> DataFrame:
+    """docs(doc_id, text, ...) with their repeated windows as the new column ``spans``; null where there are none."""
+    key = fresh(docs, "rid")
+    found = repeated(keyed(docs), grain).select(F.col("rid").alias(key), F.col("spans").alias(spans))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(found, key, "left").select(*docs.columns, spans)
 
 
 def dedup(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
@@ -62,15 +63,15 @@ def dedup(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
 
 def cleaned(docs: DataFrame, grain: Grain = BYTES) -> DataFrame:
     """All columns of docs, with repeated passages cut out of text; null text stays null."""
-    columns = docs.columns
+    columns, spans = docs.columns, fresh(docs, "spans")
 
     def run(frames):
         for pdf in batches(frames, CHARS):
             out = pdf.copy()
             out["text"] = [
-                text if spans is None or text is None else np.frombuffer(raw := text.encode("utf-8", "surrogatepass"), np.uint8)[~removed(raw, spans, grain.width)].tobytes().decode("utf-8", "ignore")
-                for text, spans in zip(pdf["text"], pdf["__spans"])
+                text if own is None or text is None else np.frombuffer(raw := text.encode("utf-8", "surrogatepass"), np.uint8)[~removed(raw, own, grain.width)].tobytes().decode("utf-8", "ignore")
+                for text, own in zip(pdf["text"], pdf[spans])
             ]
             yield out[columns]
 
-    return with_spans(docs, grain).select(*docs.columns, "__spans").mapInPandas(run, docs.schema)
+    return with_spans(docs, grain, spans).mapInPandas(run, docs.schema)

@@ -255,10 +255,10 @@ def test_window_search_equals_full_scores():
         for t in own:
             np.add.at(total, index.item[index.start[t] : index.start[t + 1]], index.impact[index.start[t] : index.start[t + 1]])
         want = {i for i in range(len(items)) if total[i] >= 1 - 1e-9}
-        assert {i for i, _ in index.search(own)} == want
+        assert {i for i, _ in index.reached(own)} == want
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(7)
     items = [(i, " ".join(f"q{i}x{k}" if k % 2 else "the" for k in range(40))) for i in range(30)]
     texts = [" ".join(words(rng, 300)) for _ in range(20)]
@@ -269,6 +269,9 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for lot in (512, 7):
         assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench, lot=lot).collect()) == [(3, 5), (8, 9)]
+    monkeypatch.setattr(decontam, "INDEX_BYTES", 1)  # a read for each lot
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench, lot=7).collect()) == [(3, 5), (8, 9)]
+    monkeypatch.undo()
     kept = decontam.clean(docs, bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(20) if i not in (3, 8)] and kept.columns == docs.columns
 

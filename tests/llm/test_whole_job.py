@@ -2,13 +2,15 @@
 
 import collections
 import random
+import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import DATA
 from test_operators import frame, linked, shingle_sets, words
 
-from glyphlake.llm import decontam, jaccard, langid, lm, mixing, quality, toxicity
+from glyphlake.llm import decontam, jaccard, langid, lm, mixing, phrases, quality, suffix, toxicity
 
 
 def test_language_model_learns_from_all_rows(spark, monkeypatch):
@@ -190,3 +192,77 @@ def test_parts_of_a_cell_are_joined_whole(spark, monkeypatch):
         a, b = sorted((find(r["u"]), find(r["v"])))
         root[b] = a
     assert [find(i) for i in range(len(texts))] == linked(shingle_sets(texts))
+
+
+def bm25_by_hand(items, passages, share=0.5):
+    """Every passage's score on every item over ``share`` of the item's own, with all words, from the formula alone."""
+    terms = [collections.Counter(re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower())) for t in items]
+    df, mean = collections.Counter(w for t in terms for w in t), sum(sum(t.values()) for t in terms) / len(terms)
+    out = []
+    for t in terms:
+        n = sum(t.values())
+        w = {x: np.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) for x, tf in t.items()}
+        out.append([sum(v for x, v in w.items() if x in p) / (share * sum(w.values())) for p in passages])
+    return np.array(out).T
+
+
+def test_search_finds_all_that_full_scores_find():
+    """Recall 1 against scores with all words, for items from one template too, in any number of lots."""
+    rng = random.Random(41)
+    common = [f"c{i}" for i in range(12)]
+    items = [" ".join(common + [f"t{rng.randrange(60)}" for _ in range(8)]) for _ in range(60)] + [" ".join(words(rng, 30)) for _ in range(40)] + ["solo", "two words"]
+    passages = []
+    for _ in range(300):
+        own = rng.choice(items).split()
+        passages.append({w for w in own if rng.random() < 0.6} | set(words(rng, 40)) | set(rng.sample(common, rng.randrange(13))))
+    want = {(p, i) for p, i in zip(*np.nonzero(bm25_by_hand(items, passages) >= 1 - 1e-9))}
+    assert len(want) > 100
+    rows = list(enumerate(items))
+    for size in (len(rows), 9):
+        lots = [rows[a : a + size] for a in range(0, len(rows), size)]
+        units = [decontam.Units(x) for x in lots]
+        all_, got = decontam.Statistics(units), set()
+        for lot, u in zip(lots, units):
+            index = decontam.Index(lot, 0.5, u, all_)
+            for p, own in enumerate(passages):
+                n = index.numbers(decontam.word_hashes([" ".join(sorted(own))], lower=True, bare=True)[0])
+                got |= {(p, index.ids[k]) for k, _ in index.search(np.unique(n[n >= 0]))}
+        assert got == want
+
+
+def test_items_with_short_questions_are_found(spark):
+    rng = random.Random(43)
+    items = [(1, "A edonnt.\n" + " ".join(f"a{i}" for i in range(40))), (2, "Why\n" + " ".join(f"b{i}" for i in range(9))), (3, "one two")]
+    texts = [f"{' '.join(words(rng, 200))} {t} {' '.join(words(rng, 200))}" for _, t in items] + [" ".join(words(rng, 400))]
+    rows = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(0, 1), (1, 2), (2, 3)]
+
+
+CLASHING = "doc_id long, text string, lang string, source string, rid string, __rid string, __RID_ string, __spans string, __lang string, __score string, spans string"
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    """Columns keep their values, rows that stand twice are rows of their own, and a text beyond a batch is read whole."""
+    rng = random.Random(45)
+    long = " ".join(words(rng, 600_000, 90_000))
+    texts = [" ".join(words(rng, 80)) for _ in range(6)] + [long, None, ""]
+    rows = [(i, t, "en", f"s{i % 2}", *(f"{c}{i}" for c in "abcdefg")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1], rows[1]], CLASHING)
+    bench = spark.createDataFrame([(1, texts[2]), (2, long[-300:])], "item_id long, text string")
+    kept = decontam.clean(docs, bench).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 1, 1, 3, 4, 5, 7, 8] and all(tuple(r) == rows[r["doc_id"]] for r in kept)
+    kept = jaccard.one_of_each(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(9)) and all(tuple(r) == rows[r["doc_id"]] for r in kept)
+    cut = suffix.cleaned(docs).collect()
+    assert len(cut) == 11 and all(tuple(r)[2:] == rows[r["doc_id"]][2:] for r in cut)
+    assert [r["text"] for r in cut if r["doc_id"] == 1] == [""] * 3 and [r["text"] for r in cut if r["doc_id"] == 6] == [long]
+    assert all(r["n_removed"] == r["n_words"] == 80 for r in phrases.dedup(docs).where("doc_id = 1").collect())
+    langs, protos = langid.learn(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name != "benchmark_items":
+            assert stage(spark, docs, f"{DATA}/sf0.001").columns == docs.columns
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES], ids=lambda s: s[0])
+def test_stages_of_empty_tables(spark, stage):
+    assert stage[1](spark, frame(spark, []), f"{DATA}/sf0.001").count() == 0
