@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from math import cos, pi, sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import formats as K
 from ..functions.numbers import round_up
@@ -78,3 +81,15 @@ def placement(votes: DataFrame, length: int) -> DataFrame:
 def psnr(squared: Column) -> Column:
     """Peak signal-to-noise ratio of a mean squared error; 99 without error."""
     return F.when(squared == 0, 99.0).otherwise(10 * F.log10(255.0 * 255.0 / squared))
+
+
+_COS = np.cos((2 * np.arange(8)[None, :] + 1) * np.arange(8)[:, None] * np.pi / 16) * np.where(np.arange(8)[:, None] == 0, 8**-0.5, 0.5)
+
+
+@F.pandas_udf(T.StructType([T.StructField(k, T.ArrayType(T.DoubleType())) for k in ("forward", "back")]))
+def dct_pair(block: pd.Series) -> pd.DataFrame:
+    """The orthonormal cosine transform of blocks of 8 by 8 values, and its inverse."""
+    px = np.stack(block.to_list()).astype(float).reshape(-1, 8, 8) if len(block) else np.zeros((0, 8, 8))
+    forward = _COS @ px @ _COS.T
+    back = _COS.T @ forward @ _COS
+    return pd.DataFrame({"forward": list(forward.reshape(-1, 64)), "back": list(back.reshape(-1, 64))})

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from .. import formats as K
 
 WORD = 32
+WORDS = 8  # words that are compared without a loop
 NESTED_ROWS = 20_000  # registries up to this many rows are sent whole to every task
 
 
@@ -33,7 +34,9 @@ def words_hex(words: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Hamming distance; null where a hash is missing or the sizes differ."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    word = lambda k: F.coalesce(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))), F.lit(0))
+    rest = F.aggregate(F.zip_with(F.slice(a, WORDS + 1, 1 << 20), F.slice(b, WORDS + 1, 1 << 20), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = reduce(lambda x, y: x + y, [word(k) for k in range(WORDS)]) + F.when(F.size(a) > WORDS, rest).otherwise(0)
     return F.when(F.size(a) == F.size(b), both)
 
 

@@ -67,6 +67,33 @@ def visible_text(nodes: DataFrame) -> DataFrame:
     return nodes.where("visible and kind = 'TEXT' and text <> ''")
 
 
+def tallies(objects: DataFrame) -> DataFrame:
+    """How many phones and how many actionable objects each layer has."""
+    acts = _acts({k: F.col(k) for k in ("type", "intent")})
+    return objects.groupBy("image_id").agg(F.count_if(F.col("type") == "phone").alias("phones"), F.count_if(acts).alias("actionables"))
+
+
+def imported(layers: DataFrame) -> DataFrame:
+    """layers(image_id, textLayer) to editable elements, with a default for each missing field."""
+    o = exploded(layers)
+    given = lambda c, other: F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(other)
+    s = F.col("style")
+    style = F.struct(given(s["font"], "Inter").alias("font"), F.coalesce(s["size"], F.lit(16.0)).alias("size"), given(s["weight"], "normal").alias("weight"), given(s["color"], "#FFFFFF").alias("color"))
+    return o.select(
+        "image_id",
+        "pos",
+        given(F.col("id"), F.concat(F.lit("e"), (F.col("pos") + 1).cast("string"))).alias("id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        given(F.col("type"), "text").alias("type"),
+        given(F.col("intent"), "auto").alias("intent"),
+        F.coalesce("primary", F.lit(False)).alias("primary"),
+        F.coalesce(F.col("bounds")["x"], F.lit(10.0)).alias("x"),
+        F.coalesce(F.col("bounds")["y"], F.lit(10.0)).alias("y"),
+        style.alias("style"),
+        F.coalesce("selectable", F.lit(True)).alias("selectable"),
+    )
+
+
 # --- order ---
 
 

@@ -21,46 +21,22 @@ _PNG = K.PNG_SIGNATURE + C.png_chunk(b"IHDR", bytes(13)) + C.png_chunk(b"IEND",
 BASES = {"png": _PNG, "jpeg": _JPEG, "webp": _WEBP}
 
 
-def carriers(spark, d: str, cut: int | None = 2000) -> DataFrame:
-    """Documents' first ``cut`` characters, or whole texts, as layers, in turn in each format: image_id, content, layer."""
+def carriers(spark, d: str) -> DataFrame:
+    """Documents' whole texts as layers, in turn in each format: image_id, content, layer."""
     docs = table(spark, d, "documents")
     turn = F.col("doc_id") % 3
     content = F.when(turn == 0, F.lit(BASES["png"])).when(turn == 1, F.lit(BASES["jpeg"])).otherwise(F.lit(BASES["webp"]))
-    text = F.substring("text", 1, cut) if cut else F.col("text")
-    layer = F.to_json(F.struct(F.lit(K.VERSION).alias(K.VERSION_FIELD), F.array(F.struct(F.lit("t1").alias("id"), text.alias("text"))).alias("textLayer")))
+    layer = F.to_json(F.struct(F.lit(K.VERSION).alias(K.VERSION_FIELD), F.array(F.struct(F.lit("t1").alias("id"), F.col("text"))).alias("textLayer")))
     return docs.select(F.col("doc_id").alias("image_id"), content.alias("content"), layer.alias("layer"))
 
 
-def written(spark, d: str, cut: int | None = 2000) -> DataFrame:
-    return C.write(carriers(spark, d, cut))
+def written(spark, d: str) -> DataFrame:
+    return C.write(carriers(spark, d))
 
 
 _FMT = "CASE doc_id % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' ELSE 'webp' END"
 
 
-@query(f"SELECT doc_id AS image_id, 'ok' AS status, {_FMT} AS fmt, 'image/' || {_FMT} AS mime, md5(substr(text, 1, 2000)) AS text FROM documents")
-def container_roundtrip(spark, d):
-    found = C.extract(written(spark, d).select("image_id", "status", "content"))
-    text = F.from_json("layer", L.LAYER)["textLayer"][0]["text"]
-    return found.select("image_id", "status", "fmt", "mime", F.md5(text).alias("text"))
-
-
-@query(f"SELECT turn, type, count(*) AS n FROM (SELECT doc_id % 3 AS turn, unnest(CASE doc_id % 3 WHEN 0 THEN ['IHDR', '{K.PNG_CHUNK.decode()}', 'IEND'] WHEN 1 THEN ['E0', 'EB', 'DA'] ELSE ['VP8X', 'VP8 ', '{K.WEBP_CHUNK.decode()}'] END) AS type FROM documents) GROUP BY ALL")
-def container_parts(spark, d):
-    rows = C.parts(written(spark, d), "image_id")
-    return rows.groupBy((F.col("image_id") % 3).alias("turn"), "type").agg(F.count("*").alias("n"))
-
-
-@query("SELECT doc_id AS image_id, o.fmt, md5(substr(text, 1, 2000)) AS text FROM documents, (VALUES ('png'), ('jpeg'), ('webp')) o(fmt) WHERE doc_id % 10 = 0")
-def preserve_matrix(spark, d):
-    """Layers of sources in one format carried over to bare outputs in every format."""
-    src = written(spark, d).where("image_id % 10 = 0").select("image_id", "content")
-    bare = F.explode(F.array(*[F.struct(F.lit(k).alias("fmt"), F.lit(v).alias("content")) for k, v in BASES.items()])).alias("o")
-    out = src.select("image_id", bare).select("image_id", "o.*")
-    kept = C.preserve(src, out)
-    return kept.select("image_id", "fmt", F.md5(F.from_json(C.layer_json("content"), L.LAYER)["textLayer"][0]["text"]).alias("text"))
-
-
 # Whole texts. A box over what a JPEG segment holds isn't written, one over the payload cap isn't read.
 
 _ABOUT = 4 + 4 + len(K.BOX_UUID) + 1 + len(K.BOX_LABEL)
@@ -70,23 +46,23 @@ w AS (SELECT *, size + {len(K.JPEG_IDENT) + 4 + 2} > {K.SEGMENT_CAP} AS long, si
 
 
 @query(f"""WITH {_BOXED} SELECT doc_id AS image_id, CASE WHEN fmt = 'jpeg' AND long THEN '{K.TOO_LONG}' ELSE 'ok' END AS status, fmt, 'image/' || fmt AS mime, CASE WHEN NOT (fmt = 'jpeg' AND long OR unread) THEN md5(text) END AS text FROM w""")
-def container_roundtrip_whole(spark, d):
-    found = C.extract(written(spark, d, None).select("image_id", "status", "content"))
+def container_roundtrip(spark, d):
+    found = C.extract(written(spark, d).select("image_id", "status", "content"))
     text = F.from_json("layer", L.LAYER)["textLayer"][0]["text"]
     return found.select("image_id", "status", "fmt", "mime", F.md5(text).alias("text"))
 
 
 @query(f"""WITH {_BOXED} SELECT turn, type, count(*) AS n FROM (SELECT doc_id % 3 AS turn, unnest(CASE WHEN fmt = 'png' THEN CASE WHEN unread THEN ['IHDR'] ELSE ['IHDR', '{K.PNG_CHUNK.decode()}', 'IEND'] END
 WHEN fmt = 'jpeg' THEN CASE WHEN long THEN ['E0', 'DA'] ELSE ['E0', 'EB', 'DA'] END WHEN unread THEN ['VP8X', 'VP8 '] ELSE ['VP8X', 'VP8 ', '{K.WEBP_CHUNK.decode()}'] END) AS type FROM w) GROUP BY ALL""")
-def container_parts_whole(spark, d):
-    rows = C.parts(written(spark, d, None), "image_id")
+def container_parts(spark, d):
+    rows = C.parts(written(spark, d), "image_id")
     return rows.groupBy((F.col("image_id") % 3).alias("turn"), "type").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_BOXED} SELECT doc_id AS image_id, o.fmt, CASE WHEN NOT ((w.fmt = 'jpeg' OR o.fmt = 'jpeg') AND long OR unread) THEN md5(text) END AS text FROM w, (VALUES ('png'), ('jpeg'), ('webp')) o(fmt)""")
-def preserve_matrix_whole(spark, d):
+def preserve_matrix(spark, d):
     """All documents' layers, in one format, carried over to bare outputs in every format."""
-    src = written(spark, d, None).select("image_id", "content")
+    src = written(spark, d).select("image_id", "content")
     bare = F.explode(F.array(*[F.struct(F.lit(k).alias("fmt"), F.lit(v).alias("content")) for k, v in BASES.items()])).alias("o")
     kept = C.preserve(src, src.select("image_id", bare).select("image_id", "o.*"))
     return kept.select("image_id", "fmt", F.md5(F.from_json(C.layer_json("content"), L.LAYER)["textLayer"][0]["text"]).alias("text"))
@@ -154,9 +130,9 @@ def attack_matrix(spark, d):
     return hit.select("n", "image_id", "attack").join(back, "n").select("image_id", "attack", told.alias("survived"))
 
 
-@query("SELECT doc_id, md5(substr(text, 1, 16)) AS payload FROM documents")
+@query("SELECT doc_id, md5(text) AS payload FROM documents")
 def rs_roundtrip(spark, d):
-    """Two bytes of every code word are damaged and mended."""
+    """Whole texts in code words of 16 bytes; two bytes of each are damaged and mended."""
     import pandas as pd
 
     from ..functions import codes
@@ -164,14 +140,17 @@ def rs_roundtrip(spark, d):
     def run(frames):
         for pdf in frames:
             back = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["start"]):
-                word = bytearray(codes.rs_encode(text.encode()))
-                for at, change in ((doc_id % len(word), 1 + doc_id % 255), ((doc_id * 7 + 3) % len(word), 1 + doc_id % 200)):
-                    word[at] ^= change
-                back.append(codes.rs_decode(bytes(word)))
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                raw, out = (text or "").encode(), []
+                for k in range(0, len(raw), 16):
+                    word = bytearray(codes.rs_encode(raw[k : k + 16]))
+                    for at, change in (((doc_id + k) % len(word), 1 + doc_id % 255), (((doc_id + k) * 7 + 3) % len(word), 1 + doc_id % 200)):
+                        word[at] ^= change
+                    out.append(codes.rs_decode(bytes(word)))
+                back.append(None if text is None else b"".join(out))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "raw": back})
 
-    rows = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 16).alias("start")).mapInPandas(run, "doc_id long, raw binary")
+    rows = table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, raw binary")
     return rows.select("doc_id", F.md5("raw").alias("payload"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocks, carriers, fingerprints, layers, texts  # noqa: F401
+from . import blocks, carriers, fingerprints, layers, more, texts  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

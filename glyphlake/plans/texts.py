@@ -27,7 +27,8 @@ def fields(spark, d: str) -> DataFrame:
     """id, token, type."""
     t = tokens(table(spark, d, "documents")).select(F.concat(F.lit("d"), "doc_id", F.lit("."), "pos").alias("id"), "token")
     p = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("url").alias("token"))
-    return t.unionByName(p).withColumn("type", T.infer_type(F.col("token")))
+    maybe = F.col("token").rlike(r"[0-9@]|^(?i)(?:https?://|www\.)")  # all others are text
+    return t.unionByName(p).withColumn("type", F.when(maybe, T.infer_type(F.col("token"))).otherwise("text"))
 
 
 @query(f"WITH {_FIELDS} SELECT type, count(*) AS fields, count(DISTINCT token) AS forms FROM typed GROUP BY 1")
@@ -53,14 +54,8 @@ def action_uri(spark, d):
     return f.select("id", "type", T.action_uri(F.col("type"), F.col("token")).alias("uri"), T.action_verb(F.col("type")).alias("verb"))
 
 
-@query(f"WITH q AS (SELECT conv_id, turn, text AS token, 'address' AS type FROM conversations WHERE length(text) < 200) SELECT conv_id, turn, {_URI} AS uri FROM q")
-def action_address(spark, d):
-    c = table(spark, d, "conversations").where("length(text) < 200")
-    return c.select("conv_id", "turn", T.action_uri(F.lit("address"), F.col("text")).alias("uri"))
-
-
 @query(f"WITH q AS (SELECT conv_id, turn, text AS token, 'address' AS type FROM conversations) SELECT conv_id, turn, {_URI} AS uri FROM q")
-def action_address_whole(spark, d):
+def action_address(spark, d):
     """Every turn, however long."""
     return table(spark, d, "conversations").select("conv_id", "turn", T.action_uri(F.lit("address"), F.col("text")).alias("uri"))
 
@@ -121,9 +116,14 @@ def crc16_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.crc16(F.encode("url", "UTF-8")).alias("crc16"))
 
 
-@query(None)
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1)))), 4294967295)"""
+
+
+@query(f"""WITH {_FIELDS}, h AS (SELECT id, hex(encode(token)) AS x FROM typed WHERE type <> 'text'), c AS (SELECT id, {_CRC32} AS c FROM h)
+SELECT id, c AS crc32, '5631' || lpad(to_hex(c), 8, '0') AS payload FROM c""")
 def crc32_text(spark, d):
-    """Verify payloads of all typed fields; DuckDB has no CRC-32."""
+    """Verify payloads of all typed fields."""
     f = fields(spark, d).where("type <> 'text'")
     return f.select("id", F.crc32(F.encode("token", "UTF-8")).alias("crc32"), F.hex(L.checksum_payload(F.col("token"))).alias("payload"))
 
@@ -144,11 +144,13 @@ def content_ids(spark, d):
 
 def lines(spark, d: str) -> DataFrame:
     """A line of up to 12 words around each phone token."""
-    t = tokens(table(spark, d, "documents"))
-    p = t.where(T.infer_type(F.col("token")) == "phone").select("doc_id", F.col("pos").alias("at"), F.col("token").alias("phone"))
-    near = t.join(p, "doc_id").where(F.abs(F.col("pos") - F.col("at")) <= 3)
-    rows = near.groupBy("doc_id", "at", "phone").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("w"))
-    return rows.select(F.concat("doc_id", F.lit("."), "at").alias("doc"), F.lit(0).alias("line"), "phone", F.transform("w", lambda w: w["token"]).alias("words"))
+    docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "").alias("w"))
+    docs = docs.where(F.exists("w", lambda w: w.rlike(K.PHONE)))
+    phone = lambda w, i: F.when(w.rlike(K.PHONE) & (T.infer_type(w) == "phone"), i)
+    at = docs.select("doc_id", "w", F.explode(F.array_compact(F.transform("w", phone))).alias("at"))
+    low = F.greatest(F.lit(0), F.col("at") - 3)
+    words = F.slice("w", low + 1, F.col("at") + 4 - low)
+    return at.select(F.concat("doc_id", F.lit("."), "at").alias("doc"), F.lit(0).alias("line"), F.get("w", F.col("at")).alias("phone"), words.alias("words"))
 
 
 _LINES = TOKENS + f""", p AS (SELECT doc_id, pos AS pt, token AS phone FROM tokens WHERE ({_TYPE}) = 'phone'),

@@ -193,9 +193,35 @@ def preserved(source: bytes | None, output: bytes | None) -> bytes | None:
     return out if out is not None and layer_of(box_of(out)) is not None else output
 
 
+def without_layer(data: bytes | None) -> bytes | None:
+    """A carrier without its layers' chunks or segments; anything else as it is."""
+    cuts = []
+    for kind, at, size, _ in scan(data):
+        if kind == K.PNG_CHUNK.decode() and data[:8] == K.PNG_SIGNATURE:
+            cuts.append((at - 8, at + size + 4))
+        elif kind == K.WEBP_CHUNK.decode() and data[:4] == b"RIFF":
+            cuts.append((at - 8, at + size + size % 2))
+        elif kind == "EB" and data[at : at + 4] == K.JPEG_IDENT:
+            cuts.append((at - 4, at + size))
+    for a, b in reversed(cuts):
+        data = data[:a] + data[b:]
+    return data[:4] + struct.pack("<I", len(data) - 8) + data[8:] if cuts and data[:4] == b"RIFF" else data
+
+
 # --- tables ---
 
 
+def is_layer(part: Column) -> Column:
+    """Whether a part is of the kind that holds a layer."""
+    return part["type"].isin(K.PNG_CHUNK.decode(), K.WEBP_CHUNK.decode(), "EB")
+
+
+def inspected(carriers: DataFrame) -> DataFrame:
+    """Carriers with their layer's JSON, and a code: 0, or 1 where there is none to show."""
+    rows = extract(carriers)
+    return rows.withColumn("code", F.when(F.col("layer").isNull(), 1).otherwise(0))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Image files below a folder: path, modificationTime, length, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).option("recursiveFileLookup", "true").load(path)
@@ -215,6 +241,11 @@ def raw_box(content: pd.Series) -> pd.Series:
     return content.map(box_of)
 
 
+@F.pandas_udf(T.BinaryType())
+def stripped(content: pd.Series) -> pd.Series:
+    return content.map(without_layer)
+
+
 @F.pandas_udf(T.StringType())
 def layer_json(content: pd.Series) -> pd.Series:
     return content.map(lambda b: layer_of(box_of(b)))
@@ -261,7 +292,7 @@ def export(carriers: DataFrame, folder: str) -> DataFrame:
         for pdf in frames:
             names = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                at = os.path.join(folder, os.path.basename(path))
+                at = os.path.join(folder, f"{zlib.crc32(path.encode()):08x}-{os.path.basename(path)}")  # equal names from other folders
                 with open(at, "wb") as f:
                     f.write(content)
                 names.append((at, len(content)))
@@ -270,7 +301,7 @@ def export(carriers: DataFrame, folder: str) -> DataFrame:
     return carriers.select("path", "content").mapInPandas(run, "path string, bytes long")
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html) to the image links in them."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?:src|href)\s*=\s*["']([^"'>]+\.(?:png|jpe?g|webp))["']"""), 1)
+def links(pages: DataFrame, ending: str = r"\.(?:png|jpe?g|webp)") -> DataFrame:
+    """pages(page_id, html) to the image links in them, or to those of another ending."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?:src|href)\s*=\s*["']([^"'>]+""" + ending + r""")["']"""), 1)
     return pages.select("page_id", F.explode(found).alias("link"))

@@ -86,3 +86,16 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"no image")
     found = C.extract(C.read(spark, str(tmp_path))).collect()
     assert [r["layer"] for r in found] == [LAYER]
+
+
+def test_layers_are_stripped_and_all_else_stays():
+    from glyphlake.plans.carriers import BASES
+    from glyphlake.sources import containers as C
+
+    for base in BASES.values():
+        box = b"\0\0\0\x08jumb"
+        full, _ = C.inject(base, box)
+        assert C.box_of(full) is not None and C.box_of(C.without_layer(full)) is None
+        kinds = [p[0] for p in C.scan(C.without_layer(full))]
+        assert [p[0] for p in C.scan(full) if p[0] in kinds] == kinds and len(C.scan(full)) == len(kinds) + 1
+    assert C.without_layer(None) is None and C.without_layer(b"text") == b"text"

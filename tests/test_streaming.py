@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from glyphlake.streaming import registry_feed, stash
+from glyphlake.streaming import event_time, registry_feed, stash
 
-ROWS = "key string, event_id long, ts timestamp, op string, value double"
+ROWS = "key string, event_id long, ts timestamp, op string, bytes binary, name string, mime string"
 
 
 def test_stash_reads_once(spark, tmp_path):
@@ -12,18 +12,20 @@ def test_stash_reads_once(spark, tmp_path):
 
     t = datetime(2026, 1, 1)
     at = lambda s: t + timedelta(seconds=s)
-    rows = [("a", 1, at(0), "put", 5.0), ("a", 2, at(10), "get", None), ("a", 3, at(20), "get", None), ("b", 4, at(0), "put", 6.0), ("b", 5, at(301), "get", None), ("c", 6, at(0), "get", None)]
+    get = (None, None, None)
+    rows = [("a", 1, at(0), "put", b"five", "a b.png", "image/png"), ("a", 2, at(10), "get", *get), ("a", 3, at(20), "get", *get), ("b", 4, at(0), "put", b"six", None, None), ("b", 5, at(301), "get", *get), ("c", 6, at(0), "get", *get), ("d", 7, at(0), "put", b"", "e", "f"), ("d", 8, at(1), "get", *get)]
     df = spark.createDataFrame(rows, ROWS)
-    assert [(r["key"], r["put_id"], r["get_id"]) for r in stash.served(df).collect()] == [("a", 1, 2)]
+    assert [(r["key"], r["put_id"], r["get_id"]) for r in stash.served(df.where("key <> 'd'")).collect()] == [("a", 1, 2)]
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     try:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         q = stash.stream(spark.readStream.schema(ROWS).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(120)
-        got = {r["get_id"]: (r["put_id"], r["status"]) for r in spark.table("answers").collect()}
+        got = {r["get_id"]: (r["put_id"], r["status"], r["bytes"] and bytes(r["bytes"]), r["name"], r["mime"]) for r in spark.table("answers").collect()}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert got == {2: (1, 200), 3: (None, 404), 5: (None, 404), 6: (None, 404)}
+    lost = (None, 404, None, None, None)
+    assert got == {2: (1, 200, b"five", "a b.png", "image/png"), 3: lost, 5: lost, 6: lost, 8: lost}
 
 
 def test_registry_feed(spark, tmp_path):
@@ -39,3 +41,16 @@ def test_registry_feed(spark, tmp_path):
     assert rows == {key("a"): "new", key("b"): "b"}
     registry_feed.merge(table)(more, 1)  # the same batch once more
     assert registry_feed.current(spark, table).where(F.col("content_id") == "new").count() == 1
+
+
+def test_late_rows_are_left_out_of_a_stream(spark, tmp_path):
+    """Ten minutes' patience: a row of the first hour that comes after one of the third is too late."""
+    schema, source = "event_id long, ts timestamp, kind string", str(tmp_path / "in")
+    steps = [[(1, "2026-01-01 00:05:00", "a")], [(2, "2026-01-01 02:30:00", "a")], [(3, "2026-01-01 00:06:00", "a"), (4, "2026-01-01 02:25:00", "a")], [(5, "2026-01-01 05:00:00", "a")], [(6, "2026-01-01 07:00:00", "a")]]
+    for k, rows in enumerate(steps):
+        spark.createDataFrame(rows, "event_id long, ts string, kind string").selectExpr("event_id", "cast(ts as timestamp) ts", "kind").coalesce(1).write.mode("append").parquet(source)
+        counted = event_time.windowed(spark.readStream.schema(schema).parquet(source), "1 hour", "10 minutes", ["kind"], [F.count("*").alias("n")])
+        q = counted.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {str(r["start"])[11:16]: r["n"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["00:00"] == 1 and got["02:00"] == 2

@@ -29,7 +29,7 @@ def told(d, name):
     return sorted(({k: v for k, v in zip(names, r)} for r in got.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", ["container_roundtrip_whole", "container_parts_whole", "preserve_matrix_whole", "action_address_whole"])
+@pytest.mark.parametrize("name", ["container_roundtrip", "container_parts", "preserve_matrix", "action_address"])
 def test_whole_texts_equal_sql(spark, long_texts, name):
     want = told(long_texts, name)
     df = catalog.queries()[name](spark, long_texts)
@@ -37,10 +37,10 @@ def test_whole_texts_equal_sql(spark, long_texts, name):
 
 
 def test_nothing_is_left_out(spark, long_texts):
-    rows = {r["image_id"]: r for r in carriers.container_roundtrip_whole(spark, long_texts).collect()}
+    rows = {r["image_id"]: r for r in carriers.container_roundtrip(spark, long_texts).collect()}
     assert sorted(rows) == list(range(1, 22))
     assert [rows[i]["status"] for i in (4, 7, 8, 9)] == ["ok", K.TOO_LONG, "ok", "ok"]
     assert [i for i in rows if rows[i]["text"] is None] == [7, 11, 15]
-    kept = carriers.preserve_matrix_whole(spark, long_texts).collect()
+    kept = carriers.preserve_matrix(spark, long_texts).collect()
     assert len(kept) == 63 and sum(r["text"] is not None for r in kept) == 63 - 3 * 3 - 2
-    assert catalog.queries()["action_address_whole"](spark, long_texts).count() == 4
+    assert catalog.queries()["action_address"](spark, long_texts).count() == 4
