@@ -100,7 +100,7 @@ def test_cleaned_text_is_valid(spark, corpus):
 
 
 def test_phrases_equal_brute_force(spark, corpus):
-    got = {r["doc_id"]: r for r in phrases.dedup(frame(spark, corpus), shard=2000).collect()}
+    got = {r["doc_id"]: r for r in phrases.dedup(frame(spark, corpus), shard=200, chunk=500).collect()}
     tokens = [(t or "").encode().split() for t in corpus]
     for i, (t, m) in enumerate(zip(tokens, windows(tokens, 35))):
         kept = b" ".join(w for w, gone in zip(t, m) if not gone)

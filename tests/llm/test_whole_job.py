@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest import DATA
-from test_operators import frame, linked, shingle_sets, words
+from test_operators import corpus, frame, linked, shingle_sets, words  # noqa: F401
 
 from glyphlake.llm import decontam, jaccard, langid, lm, mixing, phrases, quality, suffix, toxicity
 
@@ -266,3 +266,28 @@ def test_clashing_names_repeated_rows_and_long_texts(spark):
 @pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES], ids=lambda s: s[0])
 def test_stages_of_empty_tables(spark, stage):
     assert stage[1](spark, frame(spark, []), f"{DATA}/sf0.001").count() == 0
+
+
+def test_automata_locate_the_phrases(spark, corpus, monkeypatch):  # noqa: F811
+    """What the automata don't find isn't removed."""
+    docs = frame(spark, corpus)
+    assert phrases.dedup(docs).where("n_removed > 0").count() > 10
+    monkeypatch.setattr(phrases, "compiled", lambda found: ({}, type("Blind", (), {"iter": lambda self, words: iter(())})()))
+    assert phrases.dedup(docs).where("n_removed > 0").count() == 0
+
+
+def test_located_runs_equal_a_plain_search():
+    rng = random.Random(51)
+    found = [" ".join(words(rng, rng.randrange(2, 6), 6)).encode() for _ in range(30)]
+    numbers, automaton = phrases.compiled(found)
+    text = [w.encode() for w in words(rng, 400, 8)]
+    mark = [False] * len(text)
+    for f in found:
+        f = f.split(b" ")
+        for i in range(len(text) - len(f) + 1):
+            if text[i : i + len(f)] == f:
+                mark[i : i + len(f)] = [True] * len(f)
+    got = [False] * len(text)
+    for a, b in phrases.located(text, numbers, automaton):
+        got[a : b + 1] = [True] * (b + 1 - a)
+    assert got == mark
