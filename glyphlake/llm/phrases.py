@@ -1,7 +1,9 @@
 """Substring dedup with repeated-phrase automata: removes words that a repeated window of 35 words covers.
 
 1. Recurring passages are confirmed by counting (see ``repeats``). Of each passage one place is
-   kept, in the document of least rid that holds it, its owner; the passage's words there are a phrase.
+   kept, in the document of least rid that holds it, its owner; the passage's words there are a
+   phrase. Passages of an owner that touch there, and stand in the same documents at the same
+   distances, are one phrase: it occurs wherever they do.
 2. Phrases are dealt out to shards by their owners, so that the phrases of one text stay together.
    A shard compiles its phrases, each once, to one Aho-Corasick automaton over word numbers.
 3. Every document that shares a recurring passage streams, whole, through the automata of the
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, matched, materialise
+from .common import batches, discard, matched, materialise
 from .repeats import CHARS, Grain, covered, keyed, places
 
 WORDS = Grain("words", 35, 12)
@@ -37,14 +39,22 @@ CHUNK = 1 << 22  # characters of documents that go through a shard at a time, ab
 
 
 def phrase_rows(owners: DataFrame, width: int) -> DataFrame:
-    """owners(rid, shard, text, at array<struct<lo,n>>) to shard, phrase: the words at each place, with one blank between."""
+    """owners(rid, shard, text, at array<struct<like,lo,n>>) to shard, phrase: the words at each place, with one blank between.
+
+    Places that touch and are alike (stand in the same documents at the same distances) are one."""
 
     def make(frames):
         for pdf in batches(frames, CHARS):
             rows = []
             for shard, text, at in zip(pdf["shard"], pdf["text"], pdf["at"]):
                 words = text.encode("utf-8", "surrogatepass").split()
-                rows += [(shard, b" ".join(words[x["lo"] : x["lo"] + x["n"] + width - 1])) for x in at]
+                spans: list[list] = []
+                for like, lo, end in sorted((x["like"], x["lo"], x["lo"] + x["n"] + width - 1) for x in at):
+                    if spans and spans[-1][0] == like and lo <= spans[-1][2]:
+                        spans[-1][2] = max(spans[-1][2], end)
+                    else:
+                        spans.append([like, lo, end])
+                rows += [(shard, b" ".join(words[a:b])) for _, a, b in spans]
             yield pd.DataFrame(rows, columns=["shard", "phrase"])
 
     return owners.select("shard", "text", "at").mapInPandas(make, "shard long, phrase binary")
@@ -72,18 +82,25 @@ def located(words: list[bytes], numbers: dict[bytes, int], automaton) -> list[tu
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-def occurrences(docs: DataFrame, grain: Grain, shard: int, chunk: int) -> DataFrame:
-    """docs of ``keyed`` to rid and runs, array<struct<a,b>>: words a to b are in occurrences of phrases."""
-    found = materialise(places(docs, grain), "phrase-places")
-    kinds = found.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "n")).alias("one"))
-    kinds = materialise(kinds.select("h", "whole", "c", F.col("one.rid").alias("owner"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n")), "phrase-kinds")
+def occurrences(docs: DataFrame, grain: Grain, shard: int, chunk: int) -> tuple[DataFrame, list[DataFrame]]:
+    """docs of ``keyed`` to rid and runs, array<struct<a,b>>: words a to b are in occurrences of phrases. Also the tables that it is read from."""
+    found, written = places(docs, grain)
+    found = materialise(found, "phrase-places")
+    for table in written:
+        discard(table)
+    # sums over a passage's documents of a hash, and of the hash times the place: less the owner's place they tell which documents, at which distances
+    name = F.pmod(F.xxhash64(F.lit(17), "rid"), F.lit(1 << 45)).cast("decimal(20,0)")
+    kinds = found.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "n")).alias("one"), F.sum(name).alias("s"), F.sum(name * F.col("lo").cast("decimal(12,0)")).alias("t"))
+    like = F.xxhash64("c", "s", F.col("t") - F.col("s") * F.col("one.lo").cast("decimal(12,0)")).alias("like")
+    kinds = materialise(kinds.select("h", "whole", "c", like, F.col("one.rid").alias("owner"), F.col("one.lo").alias("lo"), F.col("one.n").alias("n")), "phrase-kinds")
     shards = (kinds.agg(F.sum(F.col("n") + grain.width - 1)).first()[0] or 0) // shard + 1
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).alias("shard")
     visits = matched(found.select("rid", "h", "whole").distinct(), kinds.select("h", "whole", "owner", "c"), ["h", "whole"], "c")
     visits = visits.select("rid", of("owner")).distinct().groupBy("rid").agg(F.collect_list("shard").alias("shards"))
-    at = kinds.groupBy(F.col("owner").alias("rid")).agg(F.collect_list(F.struct("lo", "n")).alias("at"))
+    at = kinds.groupBy(F.col("owner").alias("rid")).agg(F.collect_list(F.struct("like", "lo", "n")).alias("at"))
     own = visits.join(at, "rid", "left")
     met = materialise(docs.select("rid", "text").join(own, "rid"), "phrase-documents")
+    discard(found)
     rows = phrase_rows(met.where("at is not null").select(of("rid"), "text", "at"), grain.width)
     guests = met.select("rid", "text", F.explode("shards").alias("shard"))
     load = guests.groupBy("shard").agg((F.sum(F.length("text")) / chunk + 1).cast("int").alias("chunks"))
@@ -103,7 +120,7 @@ def occurrences(docs: DataFrame, grain: Grain, shard: int, chunk: int) -> DataFr
 
     by = ["shard", "chunk"]
     runs = rows.groupBy(*by).cogroup(guests.groupBy(*by)).applyInPandas(stream, "rid long, runs array<struct<a:long,b:long>>")
-    return runs.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return runs.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")), [kinds, met]
 
 
 def dedup(docs: DataFrame, grain: Grain = WORDS, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
@@ -124,6 +141,9 @@ def dedup(docs: DataFrame, grain: Grain = WORDS, shard: int = SHARD, chunk: int
             yield out
 
     docs = keyed(docs)
-    found = materialise(occurrences(docs, grain, shard, chunk), "phrase-runs")
+    found, used = occurrences(docs, grain, shard, chunk)
+    found = materialise(found, "phrase-runs")
+    for table in used:
+        discard(table)
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string")])
     return docs.join(found, "rid", "left").select("doc_id", "text", "runs").mapInPandas(run, schema)

@@ -186,8 +186,8 @@ def part_rows(docs: DataFrame, grain: Grain, part: int) -> DataFrame:
     return docs.select("rid", "text", "at").mapInPandas(make, ROWS)
 
 
-def one_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Repeated rows (rid, lo, n, and h, whole: rows that share both are equal), and the rows that go on (rid, lo, n, off)."""
+def one_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Repeated rows (rid, lo, n, and h, whole: rows that share both are equal), the rows that go on (rid, lo, n, off), and the tables written for them."""
     rows = materialise(rows, "repeat-rows")
     buckets = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     buckets = materialise(buckets.where("c > 1").select("h", "c", (F.col("a") == F.col("b")).alias("same")), "repeat-buckets")
@@ -197,19 +197,21 @@ def one_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = mixed.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "n", "off")).alias("one"))
     kinds = materialise(kinds, "repeat-kinds")
     twice = matched(mixed, kinds.where("c > 1").select("h", "whole", "c"), ["h", "whole"], "c")
-    return hit.where("same").select(*FOUND).unionByName(twice.select(*FOUND)), kinds.select("one.*")
+    return hit.where("same").select(*FOUND).unionByName(twice.select(*FOUND)), kinds.select("one.*"), [buckets, hit, kinds]
 
 
-def places(docs: DataFrame, grain: Grain) -> DataFrame:
-    """docs of ``keyed`` to every repeated place: rid, lo, n (windows lo to lo+n-1), and h, whole: places that share both hold equal tokens."""
-    found, rest = one_pass(run_rows(docs, grain))
+def places(docs: DataFrame, grain: Grain) -> tuple[DataFrame, list[DataFrame]]:
+    """docs of ``keyed`` to every repeated place: rid, lo, n (windows lo to lo+n-1), and h, whole: places that share both hold equal tokens.
+
+    Also the tables that it is read from, to be discarded once it is written."""
+    found, rest, tables = one_pass(run_rows(docs, grain))
     for part in grain.parts:
         at = rest.groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "off")).alias("at"))
-        more, rest = one_pass(part_rows(docs.join(at, "rid"), grain, part))
-        found = found.unionByName(more)
-    return found
+        more, rest, written = one_pass(part_rows(docs.join(at, "rid"), grain, part))
+        found, tables = found.unionByName(more), tables + written
+    return found, tables
 
 
 def repeated(docs: DataFrame, grain: Grain) -> DataFrame:
     """docs of ``keyed`` to rid and spans, array<struct<lo,n>>: windows lo to lo+n-1 are repeated."""
-    return places(docs, grain).groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return places(docs, grain)[0].groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
