@@ -102,10 +102,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """text and lang of the rows to learn from: null languages and the held-out bucket are left out."""
+    """text and lang of the rows to learn from: null languages and the held-out bucket are left out.
+
+    Rows are chosen by hashes, so that no text is shuffled but the chosen ones; equal rows count once.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket(F.col("doc_id"), 4) != 2))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return rows.select("lang", "text", F.row_number().over(order).alias("rn")).where(F.col("rn") <= per_lang).select("lang", "text")
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text", "lang").alias("rid"))
+    order = Window.partitionBy("lang").orderBy("rid")
+    chosen = rows.select("lang", "rid").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_lang).select("rid")
+    # at most per_lang numbers a language
+    return rows.join(F.broadcast(chosen), "rid", "left_semi").dropDuplicates(["rid"]).select("lang", "text")
 
 
 def learn(docs: DataFrame, per_lang: int = 200) -> tuple[list[str], np.ndarray]:
