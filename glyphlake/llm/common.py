@@ -15,7 +15,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,24 +93,46 @@ def fresh(df: DataFrame, name: str) -> str:
 HEAVY = 1 << 16  # keys that are sent to all tasks, at most
 
 
-def matched(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+def matched(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner", most: int | None = None) -> DataFrame:
     """rows joined with ``table``, which has one row a key and in ``weight`` how many rows hold the key.
 
-    The heaviest keys, all of at least 2**k rows for the least k that leaves at most HEAVY of
-    them, are sent to all tasks; rows of the others meet in a shuffle, where no key is heavy.
-    ``table`` is read several times, so it should be written.
+    The heaviest keys, all of at least 2**k rows for the least k that leaves at most ``most``
+    (HEAVY) of them, are sent to all tasks; rows of the others meet in a shuffle, where no key is
+    heavy. Both are read several times, so they should be written. how: inner, or left, which
+    keeps rows whose key isn't in ``table``; these should be few for each key.
     """
+    most = HEAVY if most is None else most
     tails = table.agg(*[F.count_if(F.col(weight) >= 2**k).alias(str(k)) for k in range(48)]).first()
-    k = next(k for k in range(48) if (tails[str(k)] or 0) <= HEAVY)
+    k = next(k for k in range(48) if (tails[str(k)] or 0) <= most)
     heavy = F.broadcast(table.where(F.col(weight) >= 2**k).drop(weight))
     if k == 0:
-        return rows.join(heavy, on)
+        return rows.join(heavy, on, how)
     rest = [c for c in table.columns if c not in (*on, weight)]
     marked = rows.join(heavy.select(*on, F.struct(F.lit(True).alias("heavy"), *rest).alias("__own")), on, "left")
-    light = marked.where("__own is null").drop("__own").join(table.where(F.col(weight) < 2**k).drop(weight), on)
+    light = marked.where("__own is null").drop("__own").join(table.where(F.col(weight) < 2**k).drop(weight), on, how)
     return marked.where("__own is not null").select(*rows.columns, *[F.col(f"__own.{c}").alias(c) for c in rest]).unionByName(light)
 
 
+def level(h: Column) -> Column:
+    """A whole number from 0 to 64 that never falls as the 64-bit hash h grows; each level holds about twice the hashes of the one below."""
+    return F.floor(F.log2(F.greatest(h.cast("double") + 2.0**63, F.lit(1.0)))).cast("int")
+
+
+def least(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The n rows of each key with the least 64-bit hashes in ``order``, or all if there are fewer; null keys are left out.
+
+    Rows are counted by level first, and only the levels that hold the least n are sorted: about
+    2 n rows a key, however many there are. The keys must be few. ``rows`` is read twice.
+    """
+    by_level = Window.partitionBy(key).orderBy("level")
+    tally = rows.groupBy(key, level(F.col(order)).alias("level")).agg(F.count("*").alias("n"))
+    before = tally.withColumn("before", F.sum("n").over(by_level) - F.col("n")).where(F.col("before") < n)
+    limits = before.groupBy(key).agg(F.max("level").alias("__top"))
+    near = rows.join(F.broadcast(limits), key).where(level(F.col(order)) <= F.col("__top")).drop("__top")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order, *[c for c in rows.columns if c not in (key, order)]))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches
+from .common import batches, matched, materialise
 
 ROW = 192
 PNG = b"\x89PNG\r\n\x1a\n"
 FIELDS = ["position", "kind", "text", "digest", "caption"]
 PARTS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+HOT = 1 << 13  # descriptions that are sent to all tasks, at most
 STORED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -145,7 +146,7 @@ def feature(payload: bytes) -> str:
 
 
 def stored(texts: DataFrame) -> DataFrame:
-    """A description of each distinct payload's stored form, keyed by the payload's digest, from text(text)."""
+    """A description of each distinct payload's stored form, keyed by the payload's digest, and how many copies there are, from text(text)."""
 
     def run(frames):
         for pdf in batches(frames, 1 << 22):
@@ -159,7 +160,7 @@ def stored(texts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in STORED.split(", ")])
 
     each = texts.select("text").mapInPandas(run, STORED)
-    return each.groupBy("digest").agg(F.min(F.struct(*each.columns[1:])).alias("media")).select("digest", "media.*")
+    return each.groupBy("digest").agg(F.min(F.struct(*each.columns[1:])).alias("media"), F.count("*").alias("copies")).select("digest", "media.*", "copies")
 
 
 def references(sequenced: DataFrame) -> DataFrame:
@@ -169,14 +170,18 @@ def references(sequenced: DataFrame) -> DataFrame:
 
 
 def resolve(parts: DataFrame, store: DataFrame) -> DataFrame:
-    """Parts with the media that their digests name; parts without a medium keep their place."""
-    return parts.join(store, "digest", "left")
+    """Parts with the media that their digests name; parts without a medium keep their place.
+
+    Where the store says in ``copies`` how many parts name each medium, the most named are sent to all tasks.
+    """
+    return matched(parts, store, ["digest"], "copies", "left", HOT) if "copies" in store.columns else parts.join(store, "digest", "left")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the stored medium of every document, through its page's reference."""
-    parts = references(sequences(carriers(docs), ["doc_id", "n_bytes"])).where("kind = 'media'")
-    return resolve(parts, stored(docs)).select("doc_id", "n_bytes", *(c.split()[0] for c in STORED.split(", ")[1:]), "position", "caption")
+    parts = references(sequences(carriers(docs), ["doc_id", "n_bytes"])).where("kind = 'media'").select("doc_id", "n_bytes", "digest", "position", "caption")
+    parts, store = materialise(parts, "media-parts"), materialise(stored(docs), "media-store")
+    return resolve(parts, store).select("doc_id", "n_bytes", *(c.split()[0] for c in STORED.split(", ")[1:]), "position", "caption")
 
 
 def carriers(docs: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, id_bucket, mix64, word_hashes
+from .common import batches, id_bucket, least, mix64, word_hashes
 
 LENGTH, STRIDE, HIDDEN, VECTOR = 48, 32, 8, 8
 TRI_BINS, WORDS, SEEN = 1 << 12, 1 << 15, 12
@@ -282,8 +282,8 @@ def trained(texts: list[str | None], labels: np.ndarray) -> dict[str, np.ndarray
 def sample(docs: DataFrame, labels: DataFrame, fit: int) -> DataFrame:
     """text and toxic of the rows to learn from. Their ids are chosen among the labels, so that no text is shuffled."""
     known = labels.where("toxic in (0, 1)").where(id_bucket(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = {r["doc_id"]: r["toxic"] for r in known.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= fit).select("doc_id", "toxic").collect() if r["doc_id"] is not None}
+    known = known.where("doc_id is not null").withColumn("hash", F.xxhash64("doc_id"))
+    chosen = {r["doc_id"]: r["toxic"] for r in least(known, "toxic", "hash", fit).collect()}
     if not chosen:
         return docs.limit(0).select("text", F.lit(0).alias("toxic"))
     toxic = F.col("doc_id").isin([i for i, y in chosen.items() if y == 1]).cast("int").alias("toxic")

@@ -10,7 +10,8 @@ import pytest
 from conftest import DATA
 from test_operators import corpus, frame, linked, shingle_sets, words  # noqa: F401
 
-from glyphlake.llm import decontam, jaccard, langid, lm, mixing, phrases, quality, suffix, toxicity
+from glyphlake.llm import decontam, jaccard, langid, lm, media, mixing, phrases, quality, suffix, toxicity
+from glyphlake.llm.common import least
 
 
 def test_language_model_learns_from_all_rows(spark, monkeypatch):
@@ -291,3 +292,22 @@ def test_located_runs_equal_a_plain_search():
     for a, b in phrases.located(text, numbers, automaton):
         got[a : b + 1] = [True] * (b + 1 - a)
     assert got == mark
+
+
+@pytest.mark.parametrize("most", [0, 2, 1 << 13])
+def test_parts_meet_the_store_by_either_way(spark, monkeypatch, most):
+    """Media named often by broadcast, others by shuffle; parts without a medium keep their place."""
+    monkeypatch.setattr(media, "HOT", most)
+    parts = spark.createDataFrame([(i, d) for i, d in enumerate(["a"] * 9 + ["b"] * 3 + ["c", "none", None])], "doc_id long, digest string")
+    store = spark.createDataFrame([("a", 1, 9), ("b", 2, 3), ("c", 3, 1), ("unnamed", 4, 1)], "digest string, medium int, copies long")
+    got = sorted((r["doc_id"], r["digest"], r["medium"]) for r in media.resolve(parts, store).collect())
+    assert got == [(i, d, {"a": 1, "b": 2, "c": 3}.get(d)) for i, d in enumerate(["a"] * 9 + ["b"] * 3 + ["c", "none", None])]
+
+
+def test_least_hashes_of_each_key(spark):
+    rng = random.Random(50)
+    rows = [(rng.choice("aab"), rng.getrandbits(64) - 2**63, i) for i in range(4000)] + [("few", 2**63 - 1, 0), ("few", -(2**63), 1), ("ties", 5, 1), ("ties", 5, 2), ("ties", 5, 0), (None, 1, 1)]
+    got = least(spark.createDataFrame(rows, "k string, h long, i int"), "k", "h", 2).collect()
+    want = [r for k in ("a", "b", "few", "ties") for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])[:2]]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert least(spark.createDataFrame([], "k string, h long"), "k", "h", 2).count() == 0
