@@ -85,6 +85,39 @@ def region_box(bounds: dict, width: int, height: int) -> tuple[int, int, int, in
     return left, top, max(right, left + 1), max(bottom, top + 1)
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def region_phash(grey: pd.Series, width: pd.Series, height: pd.Series, regions: pd.Series) -> pd.Series:
+    """Hashes of a grey raster's regions (percentage bounds), one for each; null for a null raster, regions or region."""
+
+    def one(g, w, h, boxes):
+        if g is None or boxes is None or not w or not h:
+            return None
+        plane = np.asarray(g, float).reshape(int(h), int(w))
+        cut = [None if b is None else region_box(b, int(w), int(h)) for b in boxes]
+        return [None if c is None else phash_words(shrunk(plane[c[1] : c[3], c[0] : c[2]])[None])[0] for c in cut]
+
+    return pd.Series([one(*r) for r in zip(grey, width, height, regions)], index=grey.index, dtype=object)
+
+
+LOT = 64  # candidates of a query whose regions are hashed in one visit of its raster
+
+
+def region_checked(found: DataFrame, rasters: DataFrame) -> DataFrame:
+    """Candidates found(query_id, key, rank, region, region_hash, ...) with rdist: how far the query's own
+    raster, hashed within the candidate's bounds, is from the candidate's region hash.
+
+    rasters(query_id, grey, width, height). rdist is null where the candidate has no region or
+    the query no raster. A raster travels once for each LOT candidates, not for each.
+    """
+    with_region = found.where("region is not null and region_hash is not null")
+    lots = with_region.groupBy("query_id", F.floor(F.col("rank") / LOT).alias("lot")).agg(F.collect_list(F.struct("key", "region", "region_hash")).alias("c"))
+    seen = lots.join(rasters.select("query_id", "grey", "width", "height"), "query_id")
+    seen = seen.select("query_id", "c", region_phash("grey", "width", "height", F.col("c.region")).alias("own"))
+    each = seen.select("query_id", F.explode(F.arrays_zip("c", "own")).alias("e"))
+    near = each.select("query_id", F.col("e.c.key").alias("key"), distance(F.col("e.c.region_hash"), F.col("e.own")).alias("rdist"))
+    return found.join(near, ["query_id", "key"], "left")
+
+
 def chunks(words: Column, count: int, bits: int) -> Column:
     """(number, value) of each run of ``bits`` bits."""
     per = WORD // bits

@@ -77,9 +77,9 @@ def fp_tight_single(spark, d):
     return P.tight_single(P.candidates(asked(spark, d, 2), entries(spark, d), 16, 64)).select("query_id", "key", "dist")
 
 
-def rasters(spark, d: str) -> DataFrame:
-    """Each 16 vectors in a row make one raster of 32 by 32: image_id, grey."""
-    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("image_id"), "vec_id", "embedding")
+def rasters(spark, d: str, places: int | None = None) -> DataFrame:
+    """Each 16 vectors in a row make one raster of 32 by 32, of values rounded to ``places``: image_id, grey."""
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("image_id"), "vec_id", "embedding" if places is None else rounded(F.col("embedding"), places).alias("embedding"))
     rows = e.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where(F.size("v") == 16)
     return rows.select("image_id", F.transform(F.flatten(F.transform("v", lambda x: x["embedding"])), lambda x: 128 + 255 * x.cast("double")).alias("grey"))
 
@@ -119,6 +119,53 @@ def t2_verified(spark, d):
     return P.verified(found, region).select("query_id", "key", "dist")
 
 
+_AREA = 112  # a wide threshold, so that queries have several candidates
+_BASIS = "cos((2 * r + 1) * u * pi() / 64)"
+_REGION = f"""WITH g AS (SELECT vec_id // 16 AS image_id, (vec_id % 16) * 64 + i - 1 AS idx, embedding[i]::DOUBLE AS e FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
+whole AS (SELECT image_id FROM g GROUP BY 1 HAVING count(*) = 1024),
+px AS (SELECT side, g.image_id, idx // 32 AS y, idx % 32 AS x, 128 + 255 * CASE side WHEN 'q' THEN floor(e * 10 + 0.5) / 10 ELSE e END AS v FROM g JOIN whole USING (image_id), (VALUES ('q'), ('r')) s(side)),
+b AS (SELECT o, u, CASE WHEN o < 0 THEN r ELSE o + r // 2 END AS p, sum({_BASIS}) AS c FROM (SELECT unnest([-1, 0, 8, 16]) AS o), (SELECT unnest(range(0, 16)) AS u), (SELECT unnest(range(0, 32)) AS r) GROUP BY ALL),
+t AS (SELECT side, image_id, o AS top, u, x, sum(c * v) AS v FROM px JOIN b ON p = y GROUP BY ALL),
+low AS (SELECT side, image_id, top, o AS lft, t.u * 16 + b.u AS i, sum(c * v) AS v FROM t JOIN b ON p = x WHERE (top < 0) = (o < 0) GROUP BY ALL),
+m AS (SELECT side, image_id, top, lft, list_sort(list(v))[128] AS m FROM low WHERE i > 0 GROUP BY ALL),
+w AS (SELECT side, image_id, top, lft, i // 32 AS k, sum(CASE WHEN v > m THEN (1::BIGINT << (31 - i % 32)) ELSE 0 END)::BIGINT AS w FROM low JOIN m USING (side, image_id, top, lft) GROUP BY ALL),
+c AS (SELECT q.image_id AS query_id, r.image_id AS key, sum(bit_count(xor(q.w, r.w)))::INTEGER AS dist FROM w q JOIN w r USING (k) WHERE q.side = 'q' AND r.side = 'r' AND q.top < 0 AND r.top < 0 GROUP BY ALL HAVING sum(bit_count(xor(q.w, r.w))) <= {_AREA}),
+d AS (SELECT query_id, key, any_value(dist) AS dist, sum(bit_count(xor(q.w, r.w)))::INTEGER AS rdist FROM c JOIN w q ON q.image_id = query_id JOIN w r ON r.image_id = key AND r.k = q.k AND r.top = q.top AND r.lft = q.lft
+  WHERE q.side = 'q' AND r.side = 'r' AND key % 4 <> 0 AND q.lft = key % 3 * 8 AND q.top = key // 3 % 3 * 8 GROUP BY ALL)"""
+
+
+def regions(spark, d: str) -> DataFrame:
+    """Registry of rasters with a quarter-size region each, but for every fourth: key, reg_ord, hash, region, region_hash."""
+    i = F.col("image_id")
+    left, top = (i % 3) * 8, F.floor(i / 3) % 3 * 8
+    percent = lambda at, pad: at.cast("double") / 32 * 100 + 100 * pad
+    size = lambda pad: F.lit(50 - 200 * pad)
+    box = F.struct(percent(left, K.PAD_X).alias("x"), percent(top, K.PAD_Y).alias("y"), size(K.PAD_X).alias("w"), size(K.PAD_Y).alias("h"))
+    rows = rasters(spark, d).select(i.alias("key"), i.alias("reg_ord"), P.phash("grey").alias("hash"), "grey", F.when(i % 4 != 0, box).alias("region"))
+    side = F.lit(K.GRID)
+    return rows.withColumn("region_hash", P.region_phash("grey", side, side, F.array("region"))[0]).drop("grey")
+
+
+def region_distances(spark, d: str) -> DataFrame:
+    own = rasters(spark, d, 1).select(F.col("image_id").alias("query_id"), "grey", F.lit(K.GRID).alias("width"), F.lit(K.GRID).alias("height"))
+    found = P.candidates(own.select("query_id", P.phash("grey").alias("hash")), regions(spark, d), _AREA)
+    return P.region_checked(found, own)
+
+
+@query(_REGION + " SELECT c.query_id, c.key, c.dist, rdist FROM c LEFT JOIN d USING (query_id, key)")
+def t2_region_distances(spark, d):
+    """Coarse rasters, hashed within each candidate's bounds."""
+    return region_distances(spark, d).select("query_id", "key", "dist", "rdist")
+
+
+@query(_REGION + """, o AS (SELECT *, row_number() OVER w AS n, lead(rdist) OVER w AS second FROM d WINDOW w AS (PARTITION BY query_id ORDER BY rdist, key))
+SELECT query_id, key, dist FROM o WHERE n = 1 AND rdist <= 40 AND coalesce(second > rdist + 4, true) UNION ALL
+SELECT query_id, min(key), min(dist) FROM c WHERE query_id NOT IN (SELECT query_id FROM d) GROUP BY 1 HAVING count(*) = 1 AND min(dist) <= 6""")
+def t2_region_verified(spark, d):
+    """The candidate whose region agrees with the query's own pixels, or nothing."""
+    return P.verified(region_distances(spark, d), F.col("rdist")).select("query_id", "key", "dist")
+
+
 _KEY = "json_extract_string(props, '$.k')"
 
 
