@@ -1,10 +1,13 @@
 """Resolution by tiers: container, content id, fingerprint, recovered value. Exact or nothing.
 
-Each tier works only on what the tiers before it left open, so costly ones see few rows.
+Tiers that read only the row itself cost nothing; those that join work on what earlier tiers
+left open. All tiers' answers then meet once, and the earliest counts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ def _row(df: DataFrame, tier: str, key, value, kind, stale, status) -> DataFrame
 def resolve(images: DataFrame, entries: DataFrame, within: int = K.MATCH, count: int = 256, region=None, strict: bool = True, method: str = "auto", lookup=None, tier_order=("container", "content_id", "fingerprint", "value")) -> DataFrame:
     """images(query_id, layer_text, stored_digest, live_digest, t1_text, hash) and the registry to one row for each resolved image.
 
-    layer_text: what the container holds, or null. strict: a recovered value that looks like a
+    layer_text: what the container holds, or null; query_id names one row. strict: a recovered value that looks like a
     content id, or like no known type, is reported as unverified and typed unknown.
     lookup: a function of the open rows that stands in for the registry search and gives
     query_id and key.
@@ -54,12 +57,17 @@ def resolve(images: DataFrame, entries: DataFrame, within: int = K.MATCH, count:
         return _row(hit, "value", null, text, F.when(doubt, "unknown").otherwise(T.sniff_value(text)), no, F.when(doubt, "unverified_id").otherwise("exact"))
 
     steps = {"container": container, "content_id": content_id, "fingerprint": search, "value": value}
-    rest, out = images, None
-    for name in tier_order:
+    unanswered = {"container": F.col("layer_text").isNull(), "value": F.col("t1_text").isNull()}
+    rest, hits = images, []
+    for place, name in enumerate(tier_order):
         hit = steps[name](rest)
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select("query_id"), "query_id", "left_anti")
-    return out.select(*OUT)
+        hits.append(hit.withColumn("place", F.lit(place)))
+        if name in unanswered:
+            rest = rest.where(unanswered[name])
+        elif any(later not in unanswered for later in tier_order[place + 1 :]):
+            rest = rest.join(hit.select("query_id"), "query_id", "left_anti")
+    found = reduce(DataFrame.unionByName, hits)
+    return found.groupBy("query_id").agg(F.min_by(F.struct(*OUT[1:]), "place").alias("hit")).select("query_id", "hit.*")
 
 
 def trace(layer, t1, content, candidates) -> "F.Column":

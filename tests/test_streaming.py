@@ -43,6 +43,24 @@ def test_registry_feed(spark, tmp_path):
     assert registry_feed.current(spark, table).where(F.col("content_id") == "new").count() == 1
 
 
+def test_registry_feed_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    table, key = str(tmp_path / "table"), lambda c: c * 64
+    entries = lambda *rows: spark.createDataFrame(list(rows), "key string, seq long, content_id string")
+    one = registry_feed.merge(table)
+    state = lambda: {r["key"][0]: r["content_id"] for r in registry_feed.current(spark, table).collect()}
+    assert registry_feed.current(spark, table) is None
+    one(entries((key("a"), 1, "a0"), (key("b"), 1, "b0"), (key("B"), 1, "B0")), 0)
+    one(entries((key("a"), 2, "a1")), 1)
+    assert registry_feed.parts(spark, table) == {"aa": 1, "bb": 0}
+    one(entries((key("b"), 2, "b2")), 2)
+    one(entries((key("b"), 2, "b2")), 2)
+    assert state() == {"a": "a1", "b": "b2", "B": "B0"}
+    one(entries(), 3)
+    one(entries((key("c"), 1, "c4")), 4)
+    assert state() == {"a": "a1", "b": "b2", "B": "B0", "c": "c4"}
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["m3", "m4", "v1", "v2", "v4"]
+
+
 def test_late_rows_are_left_out_of_a_stream(spark, tmp_path):
     """Ten minutes' patience: a row of the first hour that comes after one of the third is too late."""
     schema, source = "event_id long, ts timestamp, kind string", str(tmp_path / "in")
