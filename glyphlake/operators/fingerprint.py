@@ -10,6 +10,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,14 +20,21 @@ from .. import formats as K
 
 WORD = 32
 WORDS = 8  # words that are compared without a loop
-NESTED_ROWS = 20_000  # registries up to this many rows are sent whole to every task
+NESTED_ROWS = 20_000  # registries up to this many rows are compared whole
+SPARSE = 1 / 32  # of all pairs, what an index may visit
+MEET, LOTS, BLOCK = 1 << 11, 256, 1 << 16  # queries that meet a block of so many entries; from LOTS lots of queries on, lots grow
+CELLS, SIDE = 1 << 19, 64  # pairs compared at a time, and queries among them
+ROWS = 1 << 16
 
 
 def median_words(values: Column, count: int) -> Column:
     """A bit for each value above the median of all but the first: the lower middle element, as a discrete median."""
-    middle = F.array_sort(F.slice(values, 2, count - 1))[(count - 2) // 2]
-    word = lambda k: F.aggregate(F.slice(values, WORD * k + 1, WORD), F.lit(0).cast("long"), lambda h, v: h * 2 + F.when(v > middle, 1).otherwise(0))
-    return F.array(*[word(k) for k in range(count // WORD)])
+
+    def words(values: Column, middle: Column) -> Column:
+        return F.array(*[F.aggregate(F.slice(values, WORD * k + 1, WORD), F.lit(0).cast("long"), lambda h, v: h * 2 + F.when(v > middle, 1).otherwise(0)) for k in range(count // WORD)])
+
+    once = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  else the list is made and sorted anew for each of its values
+    return once(values, lambda v: once(F.array_sort(F.slice(v, 2, count - 1))[(count - 2) // 2], lambda m: words(v, m)))
 
 
 def words_hex(words: Column) -> Column:
@@ -118,42 +127,147 @@ def region_checked(found: DataFrame, rasters: DataFrame) -> DataFrame:
     return found.join(near, ["query_id", "key"], "left")
 
 
-def chunks(words: Column, count: int, bits: int) -> Column:
-    """(number, value) of each run of ``bits`` bits."""
-    per = WORD // bits
-    each = [F.struct(F.lit(k * per + j).alias("no"), F.shiftright(words[k], WORD - bits * (j + 1)).bitwiseAND((1 << bits) - 1).alias("value")) for k in range(count // WORD) for j in range(per)]
-    return F.array(*each)
-
-
 def masks(bits: int, radius: int) -> list[int]:
     return [reduce(lambda a, b: a | 1 << b, c, 0) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def multi_index(queries: DataFrame, registry: DataFrame, within: int, count: int, bits: int) -> DataFrame:
-    """All pairs within a distance, by equal chunks: some chunk of such a pair differs by within/chunks bits at most."""
-    radius = within // (count // bits)
-    probe = queries.select("query_id", F.explode(chunks(F.col("hash"), count, bits)).alias("c"))
-    near = F.explode(F.transform(F.array(*map(F.lit, masks(bits, radius))), lambda m: F.col("c.value").bitwiseXOR(m).cast("long")))
-    probe = probe.select("query_id", F.col("c.no").alias("no"), near.alias("value"))
-    entry = registry.select("key", F.explode(chunks(F.col("hash"), count, bits)).alias("c")).select("key", F.col("c.no").alias("no"), F.col("c.value").cast("long").alias("value"))
-    pairs = probe.join(entry, ["no", "value"]).select("query_id", "key").distinct()
-    return pairs.join(queries.select("query_id", "hash"), "query_id").join(registry.withColumnRenamed("hash", "entry_hash"), "key")
+def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
+    """Rows with a hash, dealt to ``parts`` tables of Arrow's stream format in the binary column ``name``."""
+
+    def run(batches):
+        own = [b for b in batches if b.num_rows]
+        if own:
+            table = pa.Table.from_batches(own)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
 
+    return rows.where("hash is not null").repartition(parts).mapInArrow(run, f"{name} binary")
+
+
+def unpacked(raw) -> pa.Table:
+    with pa.ipc.open_stream(raw) as stream:
+        return stream.read_all().combine_chunks()
+
+
+def by_size(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows whose hashes have n words, and the words, for each n. A hash that lacks a word is left out."""
+    lists = table["hash"].combine_chunks()
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    known = np.add.reduceat(np.append(values.is_valid().to_numpy(zero_copy_only=False), False), np.cumsum(size) - size, dtype=np.int64) if len(size) else size
+    words, row = values.fill_null(0).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+    out = {}
+    for n in np.unique(size[(size > 0) & (known == size)]):
+        ok = (size == n) & (known == n)
+        out[int(n)] = np.flatnonzero(ok), words[ok[row]].astype(np.uint64).reshape(-1, n)
+    return out
 
-def candidates(queries: DataFrame, registry: DataFrame, within: int = K.MATCH, count: int = 256, method: str = "auto", bits: int = 16) -> DataFrame:
-    """queries(query_id, hash), registry(key, reg_ord, hash, ...) to all pairs with dist <= within, nearest first by rank.
 
-    auto: a registry under NESTED_ROWS rows is compared whole, a larger one by its chunks.
+def joined_words(w: np.ndarray) -> list[np.ndarray]:
+    """Columns of 64 bits, two words in each."""
+    w = w if w.shape[1] % 2 == 0 else np.pad(w, ((0, 0), (0, 1)))
+    return list(np.ascontiguousarray((w[:, 0::2] << np.uint64(WORD) | w[:, 1::2]).T))
+
+
+def compared(q: np.ndarray, e: np.ndarray, within: int):
+    """Lots of (query, entry, distance) for all pairs of hashes within a distance; a query's pairs are in one lot."""
+    qw, ew = joined_words(q), joined_words(e)
+    for s in range(0, len(q), SIDE):
+        found = []
+        for t in range(0, len(e), CELLS // SIDE):
+            dist = sum(np.bitwise_count(a[s : s + SIDE, None] ^ b[None, t : t + CELLS // SIDE]).astype(np.int16 if len(qw) > 3 else np.uint8, copy=False) for a, b in zip(qw, ew))
+            at = np.flatnonzero(dist.ravel() <= within)
+            i, j = np.divmod(at, dist.shape[1])
+            found.append((i + s, j + t, dist.ravel()[at].astype(np.int32)))
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
+def probed(q: np.ndarray, e: np.ndarray, within: int, bits: int):
+    """The same by equal chunks of ``bits`` bits: some chunk of such a pair differs by within/chunks bits at most.
+
+    Each pair is told by the first chunk that is near enough."""
+    per, low = WORD // bits, np.uint64((1 << bits) - 1)
+    cut = lambda w: [(w[:, k] >> np.uint64(WORD - bits * (j + 1)) & low).astype(np.int64) for k in range(w.shape[1]) for j in range(per)]
+    qc, ec, qw, ew = cut(q), cut(e), joined_words(q), joined_words(e)
+    radius = within // len(qc)
+    near = np.array(masks(bits, radius), np.int64)
+    index = []
+    for c in ec:
+        order = np.argsort(c, kind="stable")
+        index.append((order, np.searchsorted(c[order], np.arange((1 << bits) + 1)), [w[order] for w in ew]))
+    step = max(1, CELLS // len(near))
+    for s in range(0, len(q), step):
+        found = []
+        for no, (order, start, words) in enumerate(index):
+            probe = qc[no][s : s + step, None] ^ near
+            lo, n = start[probe].ravel(), (start[probe + 1] - start[probe]).ravel()
+            who = np.repeat(np.arange(s, min(s + step, len(q))), len(near))
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // CELLS)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(n)]):
+                total = int(n[a:b].sum())
+                at = np.repeat(lo[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b]) + np.arange(total)
+                i = np.repeat(who[a:b], n[a:b])
+                dist = sum(np.bitwise_count(x[i] ^ y[at]).astype(np.int32) for x, y in zip(qw, words))
+                ok = np.flatnonzero(dist <= within)
+                i, j, dist = i[ok], order[at[ok]], dist[ok]
+                told = np.zeros(len(i), bool)
+                for x, y in zip(qc[:no], ec[:no]):
+                    told |= np.bitwise_count(x[i] ^ y[j]) <= radius
+                found.append((i[~told], j[~told], dist[~told]))
+        if found:
+            yield tuple(map(np.concatenate, zip(*found)))
+
+
+def foremost(i: np.ndarray, j: np.ndarray, dist: np.ndarray, most: int):
+    """The first pairs of each query by distance and place of the entry."""
+    at = np.lexsort((j, dist, i))
+    at = at[np.arange(len(at)) - np.searchsorted(i[at], i[at]) < most]
+    return i[at], j[at], dist[at]
+
+
+def pairs(queries: DataFrame, registry: DataFrame, within: int = K.MATCH, count: int = 256, method: str = "auto", bits: int = 16, most: int | None = None) -> DataFrame:
+    """queries(query_id, hash), registry(key, reg_ord, hash, ...) to query_id, the registry's columns but the hash, and dist, for all pairs with dist <= within.
+
+    Lots of queries meet blocks of the registry, and only what is near enough leaves a meeting.
+    nested compares all pairs of a meeting, index those with a chunk of ``bits`` bits in common or nearly so;
+    auto takes the index for a registry over NESTED_ROWS rows, if it leaves out most pairs.
+    most: no more than so many leave a meeting for each query, the first by distance and reg_ord.
     """
+    entries = registry.count()
     if method == "auto":
-        method = "nested" if len(registry.select("key").take(NESTED_ROWS + 1)) <= NESTED_ROWS else "index"
-    if method == "nested":
-        r = F.broadcast(registry.withColumnRenamed("hash", "entry_hash"))
-        pairs = queries.join(r, distance(F.col("hash"), F.col("entry_hash")) <= within)
-    else:
-        pairs = multi_index(queries, registry, within, count, bits)
-    pairs = pairs.withColumn("dist", distance(F.col("hash"), F.col("entry_hash"))).where(F.col("dist") <= within)
-    return pairs.drop("hash").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "reg_ord")))
+        visited = count // bits * len(masks(bits, within // max(1, count // bits))) / 2**bits if entries > NESTED_ROWS else 1
+        method = "index" if visited < SPARSE else "nested"
+    lots = packed(queries.select("query_id", "hash"), min(-(-queries.count() // MEET) or 1, LOTS), "lot")
+    blocks = packed(registry.select("key", *[c for c in registry.columns if c != "key"]), -(-entries // BLOCK) or 1, "block")
+    rest = [c for c in registry.columns if c != "hash"]
+
+    def run(batches):
+        for batch in batches:
+            for lot, block in zip(batch["lot"], batch["block"]):
+                q, e = unpacked(lot.as_buffer()), unpacked(block.as_buffer())
+                e = e.take(pc.sort_indices(e["reg_ord"], null_placement="at_start"))
+                asked, known = by_size(q), by_size(e)
+                for size in asked.keys() & known.keys():
+                    (qi, qw), (ei, ew) = asked[size], known[size]
+                    for i, j, dist in compared(qw, ew, within) if method == "nested" else probed(qw, ew, within, bits):
+                        if most is not None:
+                            i, j, dist = foremost(i, j, dist, most)
+                        for s in range(0, len(i), ROWS):
+                            own, other = q["query_id"].take(pa.array(qi[i[s : s + ROWS]])), e.select(rest).take(pa.array(ei[j[s : s + ROWS]]))
+                            columns = [own.combine_chunks(), *[c.combine_chunks() for c in other.columns], pa.array(dist[s : s + ROWS])]
+                            yield pa.RecordBatch.from_arrays(columns, ["query_id", *rest, "dist"])
+
+    schema = T.StructType([queries.schema["query_id"], *[registry.schema[c] for c in rest], T.StructField("dist", T.IntegerType())])
+    return lots.crossJoin(blocks).mapInArrow(run, schema)
+
+
+def candidates(queries: DataFrame, registry: DataFrame, within: int = K.MATCH, count: int = 256, method: str = "auto", bits: int = 16, most: int | None = None) -> DataFrame:
+    """``pairs``, nearest first by rank. most: the first so many of each query."""
+    found = pairs(queries, registry, within, count, method, bits, most)
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "reg_ord")))
+    return found if most is None else found.where(F.col("rank") <= most)
 
 
 def nearest(found: DataFrame) -> DataFrame:

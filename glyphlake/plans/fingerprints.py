@@ -69,7 +69,7 @@ def fp_top1(spark, d):
 
 @query(_ranked(1, WIDE) + ", s AS (SELECT *, lead(dist) OVER (PARTITION BY query_id ORDER BY dist, key) AS second FROM c) SELECT query_id, key, dist FROM s WHERE rank = 1 AND coalesce(second > dist + 4, true)")
 def fp_ambiguity_veto(spark, d):
-    return P.unambiguous(P.candidates(asked(spark, d, 1), entries(spark, d), WIDE, 64)).select("query_id", "key", "dist")
+    return P.unambiguous(P.candidates(asked(spark, d, 1), entries(spark, d), WIDE, 64, most=2)).select("query_id", "key", "dist")
 
 
 @query(_ranked(2, 16) + " SELECT query_id, key, dist FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c) WHERE n = 1 AND dist <= 6")
