@@ -64,7 +64,7 @@ def fp_mih_candidates(spark, d):
 
 @query(_ranked(1, WIDE) + " SELECT query_id, key, dist FROM c WHERE rank = 1")
 def fp_top1(spark, d):
-    return P.nearest(P.candidates(asked(spark, d, 1), entries(spark, d), WIDE, 64)).select("query_id", "key", "dist")
+    return P.nearest(P.candidates(asked(spark, d, 1), entries(spark, d), WIDE, 64, most=1)).select("query_id", "key", "dist")
 
 
 @query(_ranked(1, WIDE) + ", s AS (SELECT *, lead(dist) OVER (PARTITION BY query_id ORDER BY dist, key) AS second FROM c) SELECT query_id, key, dist FROM s WHERE rank = 1 AND coalesce(second > dist + 4, true)")
