@@ -296,10 +296,13 @@ def verified(found: DataFrame, region: Column | None = None, veto=None) -> DataF
     boolean column or UDF on the winner, applied last.
     """
     found = found.withColumn("rdist", region if region is not None else F.lit(None).cast("int"))
-    has = F.max(F.col("rdist").isNotNull()).over(Window.partitionBy("query_id"))
-    found = found.withColumn("has", has)
-    chosen = unambiguous(found.where("has and rdist is not null"), "rdist", K.REGION)
-    out = chosen.unionByName(tight_single(found.where("not has"))).drop("has")
+    near = F.when(F.col("rdist") <= K.REGION + K.GAP, F.col("rdist"))  # what is farther neither wins nor makes a winner doubtful
+    firsts = [F.min_by(c, "reg_ord").alias(c) for c in found.columns if c not in ("query_id", "reg_ord", "rdist")]
+    kinds = found.groupBy("query_id", near.alias("rdist")).agg(F.count("*").alias("n"), F.count("rdist").alias("regions"), F.min("reg_ord").alias("reg_ord"), *firsts)
+    whole, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy(F.asc_nulls_last("rdist"))
+    kinds = kinds.withColumn("has", F.sum("regions").over(whole) > 0).withColumn("first", F.row_number().over(order)).withColumn("next", F.lead("rdist").over(order)).where("first = 1")
+    clear = (F.col("rdist") <= K.REGION) & (F.col("n") == 1) & F.coalesce(F.col("next") > F.col("rdist") + K.GAP, F.lit(True))
+    out = kinds.where(F.when(F.col("has"), clear).otherwise((F.col("n") == 1) & (F.col("dist") <= K.TIGHT))).select(*found.columns)
     return out if veto is None else out.where(veto)
 
 

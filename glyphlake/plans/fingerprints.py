@@ -114,7 +114,7 @@ lone AS (SELECT query_id, min(key) AS key, min(dist) AS dist FROM c WHERE query_
 SELECT query_id, key, dist FROM won UNION ALL SELECT query_id, key, dist FROM lone""")
 def t2_verified(spark, d):
     """Every third entry has a region; its distance is made up from the ids."""
-    found = P.candidates(asked(spark, d, 1), entries(spark, d), 24, 64)
+    found = P.pairs(asked(spark, d, 1), entries(spark, d), 24, 64)
     region = F.when(F.col("key") % 3 == 0, (F.abs(F.col("query_id") - F.col("key")) % 90).cast("int"))
     return P.verified(found, region).select("query_id", "key", "dist")
 

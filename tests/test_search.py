@@ -85,8 +85,28 @@ def test_meetings_in_parts(monkeypatch, cells):
         assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["fp_ambiguity_veto", "fp_top1"])
+@pytest.mark.parametrize("name", ["fp_ambiguity_veto", "fp_top1", "t2_verified"])
 def test_queries_send_no_pairs_but_near_ones(spark, name):
     """No probe and no pair is a row of a plan before it is near; where many are near, they are summed up before they go."""
     plan = catalog.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "bit_count" not in plan
+
+
+def test_verified_sums_up_before_it_sends(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, (120, 2))
+    asked = drifted(rng, base, 12)
+    region = {(i, j): int(rng.integers(0, 70)) for i in range(len(asked)) for j in range(len(base)) if j % 3 == 0 and i % 4}
+    told = spark.createDataFrame([(i, j, d) for (i, j), d in region.items()], "query_id long, key long, told int")
+    found = fingerprint.pairs(hashes(spark, asked, "query_id"), hashes(spark, base, "key"), 21, 64)
+    assert "HashAggregate" in before_exchange(fingerprint.verified(found, (F.abs(F.col("query_id") - F.col("key")) % 90).cast("int")))
+    want = set()
+    for i, c in enumerate(near(asked, base, 21)):
+        have = sorted((region[i, j], j, d) for d, j in c if (i, j) in region)
+        if have:
+            if have[0][0] <= K.REGION and (len(have) == 1 or have[1][0] > have[0][0] + K.GAP):
+                want.add((i, have[0][1], have[0][2], have[0][0]))
+        elif len(c) == 1 and c[0][0] <= K.TIGHT:
+            want.add((i, c[0][1], c[0][0], None))
+    got = fingerprint.verified(found.join(told, ["query_id", "key"], "left"), F.col("told")).select("query_id", "key", "dist", "rdist").collect()
+    assert set(map(tuple, got)) == want and any(r[3] is None for r in want) and any(r[3] is not None for r in want)
