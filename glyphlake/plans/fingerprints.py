@@ -74,7 +74,7 @@ def fp_ambiguity_veto(spark, d):
 
 @query(_ranked(2, 16) + " SELECT query_id, key, dist FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c) WHERE n = 1 AND dist <= 6")
 def fp_tight_single(spark, d):
-    return P.tight_single(P.candidates(asked(spark, d, 2), entries(spark, d), 16, 64)).select("query_id", "key", "dist")
+    return P.tight_single(P.candidates(asked(spark, d, 2), entries(spark, d), 16, 64, most=2)).select("query_id", "key", "dist")
 
 
 def rasters(spark, d: str, places: int | None = None) -> DataFrame:
