@@ -45,7 +45,9 @@ def resolve(images: DataFrame, entries: DataFrame, within: int = K.MATCH, count:
     def search(rest):
         if lookup is not None:
             return _row(lookup(rest), "fingerprint", F.col("key"), null, null, no, F.lit("exact"))
-        found = fingerprint.candidates(rest.where("hash is not null").select("query_id", "hash"), entries, within, count, method)
+        most = 2 if region is None else None  # the first two tell whether the first is in doubt
+        known = entries if region is not None else entries.select("key", "reg_ord", "hash")
+        found = fingerprint.candidates(rest.where("hash is not null").select("query_id", "hash"), known, within, count, method, most=most)
         hit = fingerprint.verified(found, region) if region is not None else fingerprint.unambiguous(found)
         return _row(hit, "fingerprint", F.col("key"), null, null, no, F.lit("verified"))
 

@@ -85,7 +85,7 @@ def test_meetings_in_parts(monkeypatch, cells):
         assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("name", ["fp_ambiguity_veto", "fp_top1", "t2_verified", "fp_mih_candidates", "fp_tight_single"])
+@pytest.mark.parametrize("name", ["fp_ambiguity_veto", "fp_top1", "t2_verified", "fp_mih_candidates", "fp_tight_single", "resolve_tiers"])
 def test_queries_send_no_pairs_but_near_ones(spark, name):
     """No probe and no pair is a row of a plan before it is near; where many are near, they are summed up before they go."""
     plan = catalog.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
