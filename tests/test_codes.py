@@ -1,5 +1,7 @@
 """Codes, streams and marks."""
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,6 +25,37 @@ def test_two_wrong_bytes_are_mended(data, errors):
     assert codes.rs_decode(bytes(word), mode="detect") == (None if errors else data)
 
 
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=16), st.lists(st.tuples(st.integers(0, 19), st.integers(1, 255)), max_size=4)), min_size=1, max_size=30), st.sampled_from([2, 3, 4, 6, 9]))
+@settings(max_examples=200, deadline=None)
+def test_rows_are_coded_as_words_are(cases, parity):
+    """Whatever is wrong with a word, in a matrix of words of many lengths, too."""
+    data, words, length = np.zeros((len(cases), 16), np.uint8), np.zeros((len(cases), 16 + parity), np.uint8), []
+    for k, (raw, errors) in enumerate(cases):
+        data[k, 16 - len(raw) :] = list(raw)
+        word = bytearray(codes.rs_encode(raw, parity))
+        for at, change in errors:
+            word[at % len(word)] ^= change
+        words[k, 16 + parity - len(word) :] = list(word)
+        length.append(len(word))
+    coded = codes.rs_encode_rows(data, parity)
+    assert [coded[k, 16 - len(raw) :].tobytes() for k, (raw, _) in enumerate(cases)] == [codes.rs_encode(raw, parity) for raw, _ in cases]
+    for mode in ("correct", "detect"):
+        back, ok = codes.rs_decode_rows(words, np.array(length), parity, mode)
+        got = [back[k, 16 - len(raw) :].tobytes() if ok[k] else None for k, (raw, _) in enumerate(cases)]
+        assert got == [codes.rs_decode(words[k, -n:].tobytes(), parity, mode) for k, n in enumerate(length)]
+
+
+def test_a_megabyte_of_words_takes_seconds():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, (65_536, 16), dtype=np.uint8)
+    words, row = codes.rs_encode_rows(data), np.arange(len(data))
+    words[row, row % 20] ^= 7
+    words[row, row * 7 % 19] ^= 9
+    began = time.process_time()
+    back, ok = codes.rs_decode_rows(words, np.full(len(words), 20))
+    assert ok.all() and (back == data).all() and time.process_time() - began < 3
+
+
 @given(st.binary(min_size=16, max_size=16), st.lists(st.integers(0, 175), min_size=1, max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_exact_or_nothing(payload, flips):
