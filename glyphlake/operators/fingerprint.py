@@ -25,6 +25,8 @@ SPARSE = 1 / 32  # of all pairs, what an index may visit
 MEET, LOTS, BLOCK = 1 << 11, 256, 1 << 16  # queries that meet a block of so many entries; from LOTS lots of queries on, lots grow
 CELLS, SIDE = 1 << 19, 64  # pairs compared at a time, and queries among them
 ROWS = 1 << 16
+WHOLE = 1 << 20  # registries up to this many rows are met whole by each lot
+HELD = 1 << 21  # near pairs that a lot keeps at a time, of several queries
 
 
 def median_words(values: Column, count: int) -> Column:
@@ -131,8 +133,8 @@ def masks(bits: int, radius: int) -> list[int]:
     return [reduce(lambda a, b: a | 1 << b, c, 0) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """Rows with a hash, dealt to ``parts`` tables of Arrow's stream format in the binary column ``name``."""
+def packed(rows: DataFrame, parts: int, name: str, *by: str) -> DataFrame:
+    """Rows with a hash, dealt to ``parts`` tables (by some columns, if named) of Arrow's stream format in the binary column ``name``."""
 
     def run(batches):
         own = [b for b in batches if b.num_rows]
@@ -143,7 +145,7 @@ def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
                 out.write_table(table)
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
 
-    return rows.where("hash is not null").repartition(parts).mapInArrow(run, f"{name} binary")
+    return rows.where("hash is not null").repartition(parts, *by).mapInArrow(run, f"{name} binary")
 
 
 def unpacked(raw) -> pa.Table:
@@ -197,7 +199,7 @@ def probed(q: np.ndarray, e: np.ndarray, within: int, bits: int):
     for c in ec:
         order = np.argsort(c, kind="stable")
         index.append((order, np.searchsorted(c[order], np.arange((1 << bits) + 1)), [w[order] for w in ew]))
-    step = max(1, CELLS // len(near))
+    step = max(1, min(CELLS // len(near), SIDE * BLOCK // max(1, len(e))))
     for s in range(0, len(q), step):
         found = []
         for no, (order, start, words) in enumerate(index):
@@ -227,44 +229,128 @@ def foremost(i: np.ndarray, j: np.ndarray, dist: np.ndarray, most: int):
     return i[at], j[at], dist[at]
 
 
+def way(method: str, entries: int, within: int, count: int, bits: int) -> str:
+    """How a meeting finds its pairs. nested compares all pairs, index those with a chunk of ``bits`` bits in common or
+    nearly so; auto takes the index for a registry over NESTED_ROWS rows, if it leaves out most pairs."""
+    if method != "auto":
+        return method
+    visited = count // bits * len(masks(bits, within // max(1, count // bits))) / 2**bits if entries > NESTED_ROWS else 1
+    return "index" if visited < SPARSE else "nested"
+
+
+def by_reg_ord(table: pa.Table) -> pa.Table:
+    """Entries in their order."""
+    return table.take(pc.sort_indices(table["reg_ord"], null_placement="at_start")).combine_chunks()
+
+
+def told(q: pa.Table, i: np.ndarray, e: pa.Table, j: np.ndarray, **numbers: np.ndarray):
+    """Batches of query_id, the entry's columns and some numbers for places i of queries and j of entries."""
+    rest = e.select([c for c in e.column_names if c != "hash"])
+    for s in range(0, len(i), ROWS):
+        own, other = q["query_id"].take(pa.array(i[s : s + ROWS])), rest.take(pa.array(j[s : s + ROWS]))
+        columns = [own.combine_chunks(), *[c.combine_chunks() for c in other.columns], *[pa.array(x[s : s + ROWS].astype(np.int32)) for x in numbers.values()]]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", *rest.column_names, *numbers])
+
+
+def told_schema(queries: DataFrame, registry: DataFrame, *numbers: str) -> T.StructType:
+    rest = [registry.schema[c] for c in registry.columns if c not in ("key", "hash")]
+    return T.StructType([queries.schema["query_id"], registry.schema["key"], *rest, *[T.StructField(x, T.IntegerType()) for x in numbers]])
+
+
 def pairs(queries: DataFrame, registry: DataFrame, within: int = K.MATCH, count: int = 256, method: str = "auto", bits: int = 16, most: int | None = None) -> DataFrame:
     """queries(query_id, hash), registry(key, reg_ord, hash, ...) to query_id, the registry's columns but the hash, and dist, for all pairs with dist <= within.
 
-    Lots of queries meet blocks of the registry, and only what is near enough leaves a meeting.
-    nested compares all pairs of a meeting, index those with a chunk of ``bits`` bits in common or nearly so;
-    auto takes the index for a registry over NESTED_ROWS rows, if it leaves out most pairs.
+    Lots of queries meet blocks of the registry, and only what is near enough leaves a meeting. method: see ``way``.
     most: no more than so many leave a meeting for each query, the first by distance and reg_ord.
     """
     entries = registry.count()
-    if method == "auto":
-        visited = count // bits * len(masks(bits, within // max(1, count // bits))) / 2**bits if entries > NESTED_ROWS else 1
-        method = "index" if visited < SPARSE else "nested"
+    method = way(method, entries, within, count, bits)
     lots = packed(queries.select("query_id", "hash"), min(-(-queries.count() // MEET) or 1, LOTS), "lot")
     blocks = packed(registry.select("key", *[c for c in registry.columns if c != "key"]), -(-entries // BLOCK) or 1, "block")
-    rest = [c for c in registry.columns if c != "hash"]
 
     def run(batches):
         for batch in batches:
             for lot, block in zip(batch["lot"], batch["block"]):
-                q, e = unpacked(lot.as_buffer()), unpacked(block.as_buffer())
-                e = e.take(pc.sort_indices(e["reg_ord"], null_placement="at_start"))
+                q, e = unpacked(lot.as_buffer()), by_reg_ord(unpacked(block.as_buffer()))
                 asked, known = by_size(q), by_size(e)
                 for size in asked.keys() & known.keys():
                     (qi, qw), (ei, ew) = asked[size], known[size]
                     for i, j, dist in compared(qw, ew, within) if method == "nested" else probed(qw, ew, within, bits):
                         if most is not None:
                             i, j, dist = foremost(i, j, dist, most)
-                        for s in range(0, len(i), ROWS):
-                            own, other = q["query_id"].take(pa.array(qi[i[s : s + ROWS]])), e.select(rest).take(pa.array(ei[j[s : s + ROWS]]))
-                            columns = [own.combine_chunks(), *[c.combine_chunks() for c in other.columns], pa.array(dist[s : s + ROWS])]
-                            yield pa.RecordBatch.from_arrays(columns, ["query_id", *rest, "dist"])
+                        yield from told(q, qi[i], e, ei[j], dist=dist)
+
+    return lots.crossJoin(blocks).mapInArrow(run, told_schema(queries, registry, "dist"))
+
+
+def in_order(group: np.ndarray, qw: np.ndarray, ew: np.ndarray, within: int, method: str, bits: int):
+    """All near pairs of queries (in order of their group) and entries, as lots of (query, entry, distance, rank): a
+    group's pairs are in one lot, in order of distance and entry. At most about HELD are kept at a time, or those of one group."""
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    edge, waiting = np.append(first, len(group)), [(0, len(first))]
+    while waiting:
+        a, b = waiting.pop()
+        lo, hi = edge[a], edge[b]
+        kept, held = [], 0
+        for s in range(0, len(ew), BLOCK):
+            part = ew[s : s + BLOCK]
+            for i, j, dist in compared(qw[lo:hi], part, within) if method == "nested" else probed(qw[lo:hi], part, within, bits):
+                kept.append((i.astype(np.int32), (j + s).astype(np.int32), dist.astype(np.int16)))
+                held += len(i)
+                if held > HELD and b - a > 1:
+                    break
+            if held > HELD and b - a > 1:
+                break
+        if held > HELD and b - a > 1:
+            waiting += [((a + b) // 2, b), (a, (a + b) // 2)]
+        elif held:
+            i, j, dist = (np.concatenate(x) for x in zip(*kept))
+            del kept
+            own = group[lo:hi][i]
+            order = np.lexsort((j, dist, own))
+            own = own[order]
+            yield i[order] + lo, j[order], dist[order], np.arange(len(own)) - np.searchsorted(own, own) + 1
+
+
+def ranked(queries: DataFrame, registry: DataFrame, entries: int, within: int, method: str, bits: int) -> DataFrame:
+    """``pairs`` with rank, for a registry that a task can hold: each lot meets all of it, so that its pairs are ranked where they are found and none is sent."""
+    lots = packed(queries.select("query_id", "hash"), min(-(-queries.count() // MEET) or 1, LOTS), "lot", "query_id")
+    blocks = packed(registry.select("key", *[c for c in registry.columns if c != "key"]), -(-entries // BLOCK) or 1, "block")
+
+    def meetings(batches):
+        lot, blocks = None, []
+        for batch in batches:
+            for own, block in zip(batch["lot"], batch["block"]):
+                own = own.as_buffer()
+                if lot is not None and not own.equals(lot):
+                    yield lot, blocks
+                    blocks = []
+                lot, blocks = own, [*blocks, unpacked(block.as_buffer())]
+        if lot is not None:
+            yield lot, blocks
 
-    schema = T.StructType([queries.schema["query_id"], *[registry.schema[c] for c in rest], T.StructField("dist", T.IntegerType())])
-    return lots.crossJoin(blocks).mapInArrow(run, schema)
+    def run(batches):
+        for lot, blocks in meetings(batches):
+            q, e = unpacked(lot), by_reg_ord(pa.concat_tables(blocks))
+            group = pc.dictionary_encode(q["query_id"].combine_chunks(), null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            asked, known = by_size(q), by_size(e)
+            for size in asked.keys() & known.keys():
+                (qi, qw), (ei, ew) = asked[size], known[size]
+                order = np.argsort(group[qi], kind="stable")
+                qi, qw = qi[order], qw[order]
+                for i, j, dist, rank in in_order(group[qi], qw, ew, within, method, bits):
+                    yield from told(q, qi[i], e, ei[j], dist=dist, rank=rank)
+
+    return lots.crossJoin(F.broadcast(blocks)).mapInArrow(run, told_schema(queries, registry, "dist", "rank"))
 
 
 def candidates(queries: DataFrame, registry: DataFrame, within: int = K.MATCH, count: int = 256, method: str = "auto", bits: int = 16, most: int | None = None) -> DataFrame:
-    """``pairs``, nearest first by rank. most: the first so many of each query."""
+    """``pairs``, nearest first by rank. most: the first so many of each query.
+
+    All candidates of a registry up to WHOLE rows are ranked where they are found; else they are sent to be ranked.
+    """
+    if most is None and (entries := registry.count()) <= WHOLE:
+        return ranked(queries, registry, entries, within, way(method, entries, within, count, bits), bits)
     found = pairs(queries, registry, within, count, method, bits, most)
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "reg_ord")))
     return found if most is None else found.where(F.col("rank") <= most)

@@ -85,6 +85,37 @@ def test_meetings_in_parts(monkeypatch, cells):
         assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("name", ["fp_candidates", "fp_mih_candidates"])
+def test_all_candidates_are_ranked_where_they_are_found(spark, name):
+    """No pair is sent or sorted after the search, however many copies there are."""
+    plan = catalog.queries()[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    names = re.findall(r"^[ :+\-*()\d]*(\w+)", plan, re.M)
+    assert not {"Exchange", "Window", "Sort"} & set(names[: names.index("MapInArrow")])
+
+
+@pytest.mark.parametrize("held", [1, 300, 1 << 21])
+@pytest.mark.parametrize("whole", [0, 1 << 20])
+def test_ranks_of_many_copies(spark, monkeypatch, held, whole):
+    for name, value in (("HELD", held), ("WHOLE", whole), ("MEET", 60), ("BLOCK", 70)):
+        monkeypatch.setattr(fingerprint, name, value)
+    rng = np.random.default_rng(6)
+    base = np.concatenate([rng.integers(0, 2**32, (100, 2)), np.repeat(rng.integers(0, 2**32, (2, 2)), 60, axis=0)])
+    asked = drifted(rng, base, 9)
+    q, e = hashes(spark, asked, "query_id"), hashes(spark, base, "key").withColumn("reg_ord", -F.col("key"))
+    want = {(i, j, d, k + 1) for i, c in enumerate(near(asked, base, 12)) for k, (d, j) in enumerate(sorted(c, key=lambda x: (x[0], -x[1])))}
+    for method in ("nested", "index"):
+        got = fingerprint.candidates(q, e, 12, 64, method, 8).select("query_id", "key", "dist", "rank").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_queries_of_one_id_are_ranked_together(spark):
+    rows = [(7, [1, 2]), (7, [1, 3]), (None, [1, 2]), (None, [1, 2]), (8, [1, 3])]
+    q = spark.createDataFrame(rows, "query_id long, hash array<long>")
+    e = hashes(spark, [[1, 2], [1, 2]], "key")
+    got = sorted((r["query_id"] or 0, r["rank"], r["dist"]) for r in fingerprint.candidates(q, e, 12, 64).collect())
+    assert got == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (0, 4, 0), (7, 1, 0), (7, 2, 0), (7, 3, 1), (7, 4, 1), (8, 1, 1), (8, 2, 1)]
+
+
 @pytest.mark.parametrize("name", ["fp_ambiguity_veto", "fp_top1", "t2_verified", "fp_mih_candidates", "fp_tight_single", "resolve_tiers"])
 def test_queries_send_no_pairs_but_near_ones(spark, name):
     """No probe and no pair is a row of a plan before it is near; where many are near, they are summed up before they go."""
