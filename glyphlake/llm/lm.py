@@ -11,8 +11,9 @@ first tokens are context for the others, so each token is scored exactly once.
 
 All of the model is learned from all training documents. Words, ids and pairs of ids are
 counted over all of them. The pairs give the classes and the ids' vectors, the ids' counts the
-shares. The most frequent pairs and
-triples, as many as a fixed bound allows, are the mixture's. The
+shares. Pairs and triples
+are the mixture's, all of them: the most frequent, as many as a fixed bound allows, are sent to all
+executors, and tokens that need others wait until these have met their counts in a join. The
 attention starts from a few epochs on ``fit`` documents (a parameter); from there, each shard
 of the training documents trains a copy on all its tokens, and the copies' changes are
 averaged, weighted by tokens. Shards are of bounded size and dealt by the rows' hash, so that
@@ -35,6 +36,7 @@ import base64
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +50,7 @@ WINDOW, STRIDE, DIM, CLASSES = 16, 12, 8, 16
 HOT = 1 << 17  # words sent to all executors, at most
 WORD, ID, PAIR, TRIPLE = range(4)
 TALLY = 1 << 18  # keys that a task keeps in a tally before it sums them
-KEPT = 1 << 19  # pairs, and triples, of ids that the model keeps, at most
+KEPT = 1 << 19  # pairs, and triples, of ids sent to all executors, at most
 CHARS = 1 << 21
 FREQUENT = 192  # ids whose neighbours tell ids apart
 SHARD_WORDS = 1 << 19
@@ -268,13 +270,14 @@ def fitted(p: dict[str, np.ndarray], E: np.ndarray, kind: np.ndarray, ids: np.nd
 
 
 class Counts:
-    """Counts by code, found by hash: codes of a slot lie one after another."""
+    """Counts by code, found by hash: codes of a slot lie one after another. more: other numbers by code."""
 
-    def __init__(self, code: np.ndarray, n: np.ndarray):
+    def __init__(self, code: np.ndarray, n: np.ndarray, *more: np.ndarray):
         self.bits = max(4, int(2 * max(1, len(code)) - 1).bit_length())
         slot = self.slot(code)
         order = np.argsort(slot, kind="stable")
-        self.code, self.n = np.append(code[order], -1), np.append(n[order], 0).astype(np.float32)
+        self.code, self.none = np.append(code[order], -1), len(code)
+        self.n, *self.more = (np.append(x[order], 0).astype(np.float32) for x in (n, *more))
         self.begin = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def slot(self, code: np.ndarray) -> np.ndarray:
@@ -295,31 +298,81 @@ class Counts:
 
 
 class Memory:
-    """How often ids follow the id before them, and how often ids, or ends of the word, follow two ids of a word."""
-
-    def __init__(self, pairs: Counts, triples: Counts, opens: np.ndarray):
-        self.pairs, self.triples, self.opens = pairs, triples, opens
-        code, n = pairs.code[:-1], pairs.n[:-1]
-        self.total, self.kinds = (np.bincount(code // IDS, w, IDS).astype(np.float32) for w in (n, None))
-        begun = opens[code % IDS]
-        self.begun = np.bincount(code[begun] // IDS, n[begun], IDS).astype(np.float32)
+    """How often ids follow the id before them, and how often ids, or ends of the word, follow two ids of a word.
+
+    pairs and triples may be a part of all: then pairs have with them how many triples begin with them, and how many
+    kinds of these, sums are the three of each id over all pairs (see ``followed``), and whole tells which table has all.
+    """
+
+    def __init__(self, pairs: Counts, triples: Counts, opens: np.ndarray, sums=None, whole: tuple[bool, bool] = (True, True)):
+        self.pairs, self.triples, self.opens, self.whole = pairs, triples, opens, whole
+        self.total, self.kinds, self.begun = (x.astype(np.float32) for x in (sums or followed(pairs.code[:-1], pairs.n[:-1], opens)))
+        if pairs.more:
+            self.total3, self.kinds3 = pairs.more
+            return
         at = pairs.find(triples.code[:-1] // IDS)
-        self.total3, self.kinds3 = (np.bincount(at, w, len(code) + 1).astype(np.float32) for w in (triples.n[:-1], None))
+        self.total3, self.kinds3 = (np.bincount(at, w, pairs.none + 1).astype(np.float32) for w in (triples.n[:-1], None))
         self.total3[-1] = self.kinds3[-1] = 0
 
-    def mixed(self, p: np.ndarray, q: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probabilities of ids after ``first``, from the attention's (p), and its probability that a word begins (q)."""
-        place = self.pairs.find(first * IDS + ids)
-        p = blended(self.pairs.n[place], self.total[first], self.kinds[first], p)
+    def places(self, ids: np.ndarray, first: np.ndarray):
+        """Places of the pairs; which ids are inside a word, and the codes and places of their triples."""
         inner, code = triples_of(ids, first, self.opens)
-        own, before = first[inner], place[inner - 1]
+        return self.pairs.find(first * IDS + ids), inner, code, self.triples.find(code)
+
+    def mixed(self, p: np.ndarray, q: np.ndarray, ids: np.ndarray, first: np.ndarray, places=None) -> np.ndarray:
+        """Probabilities of ids after ``first``, from the attention's (p), and its probability that a word begins (q)."""
+        place, inner, _, triple = places or self.places(ids, first)
+        p = self.after(p, first, self.pairs.n[place])
+        before = place[inner - 1]
+        p[inner] = self.inside(p[inner], q[inner], first[inner], self.opens[ids[inner]], self.triples.n[triple], self.total3[before], self.kinds3[before])
+        return p
+
+    def after(self, p: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return blended(n, self.total[first], self.kinds[first], p)
+
+    def inside(self, p: np.ndarray, q: np.ndarray, own: np.ndarray, begins: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Probabilities inside a word, from those after one id (p); n, total and kinds are of the triple and the two ids before."""
+        q = np.maximum(blended(self.begun[own], self.total[own], self.kinds[own], q), 1e-30)
+        event = blended(n, total, kinds, np.where(begins, q, p))
+        return np.where(begins, event * p / q, event)
+
+    def waiting(self, ids: np.ndarray, first: np.ndarray, places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of ids whose counts aren't all here, and the places and keys of what they ask for: codes of pairs, -1 less those of triples."""
+        place, inner, code, triple = places
+        known = self.kinds[first] > 0
+        pair = np.flatnonzero((place == self.pairs.none) & known & (not self.whole[0]))
+        lacks = (place[inner - 1] == self.pairs.none) & known[inner - 1] & (not self.whole[0])
+        third = (triple == self.triples.none) & (lacks | (self.kinds3[place[inner - 1]] > 0)) & (not self.whole[1])
+        at = np.concatenate([pair, inner[lacks], inner[third]])
+        return np.unique(at), at, np.concatenate([first[pair] * IDS + ids[pair], code[lacks] // IDS, -1 - code[third]])
+
+    def settled(self, p: np.ndarray, q: np.ndarray, code: np.ndarray, key: np.ndarray, c: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """``mixed`` for single ids, of code (two before, one before, id), with the counts that they have met: key in order, and what goes with it."""
+        two, ids = code // IDS, code % IDS
+        first = two % IDS
+
+        def met(of, counts, here):
+            at = np.minimum(np.searchsorted(key, of), max(0, len(key) - 1))
+            hit = key[at] == of if len(key) else np.zeros(len(of), bool)
+            return [np.where(place < table.none, own[place], np.where(hit, x[at] if len(key) else 0, 0)).astype(np.float32) for place, table in [here] for own, x in counts]
+
+        pair = first * IDS + ids
+        p = self.after(p, first, met(pair, [(self.pairs.n, c)], (self.pairs.find(pair), self.pairs))[0])
+        inner = np.flatnonzero(~self.opens[first])
         begins = self.opens[ids[inner]]
-        q = np.maximum(blended(self.begun[own], self.total[own], self.kinds[own], q[inner]), 1e-30)
-        event = blended(self.triples.n[self.triples.find(code)], self.total3[before], self.kinds3[before], np.where(begins, q, p[inner]))
-        p[inner] = np.where(begins, event * p[inner] / q, event)
+        triple = two[inner] * IDS + np.where(begins, END, ids[inner])
+        n = met(-1 - triple, [(self.triples.n, c)], (self.triples.find(triple), self.triples))[0]
+        both = met(two[inner], [(self.total3, total), (self.kinds3, kinds)], (self.pairs.find(two[inner]), self.pairs))
+        p[inner] = self.inside(p[inner], q[inner], first[inner], begins, n, *both)
         return p
 
 
+def followed(code: np.ndarray, n: np.ndarray, opens: np.ndarray) -> list[np.ndarray]:
+    """Of each id as the first of pairs: their number, their kinds, and the number of those that begin a word."""
+    begun = opens[code % IDS]
+    return [np.bincount(code // IDS, n, IDS), np.bincount(code // IDS, None, IDS), np.bincount(code[begun] // IDS, n[begun], IDS)]
+
+
 def blended(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Counts n out of total, with p for as much as there are different kinds."""
     return np.where(kinds > 0, (n + kinds * p) / np.maximum(1, total + kinds), p)
@@ -382,11 +435,24 @@ def attended(model: dict, ids: np.ndarray, bounds: np.ndarray, block: int = 1024
 
 def scores(model: dict, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log probability of each text."""
+    return parts(model, ids, bounds)[0]
+
+
+def parts(model: dict, ids: np.ndarray, bounds: np.ndarray):
+    """Natural log probability of each text without the ids that wait for counts; these ids' texts, codes (see ``settled``),
+    attention's probabilities and those that a word begins there; texts and keys of what they ask for."""
+    memory = model["memory"]
     if len(bounds) < 2:
-        return np.zeros(0)
-    p, begins = attended(model, ids, bounds)
-    p = model["memory"].mixed(np.exp(p), begins, ids, before(ids, bounds))
-    return np.add.reduceat(np.log(p.astype(np.float64)), bounds[:-1])
+        return np.zeros(0), *[np.zeros(0, np.int64)] * 6
+    p, q = attended(model, ids, bounds)
+    p, first = np.exp(p), before(ids, bounds)
+    places = memory.places(ids, first)
+    log = np.log(memory.mixed(p, q, ids, first, places).astype(np.float64))
+    open_, at, key = memory.waiting(ids, first, places)
+    log[open_] = 0
+    two = np.where(memory.opens[first[open_]], END, first[open_ - 1])
+    text = lambda x: np.searchsorted(bounds, x, side="right") - 1
+    return np.add.reduceat(log, bounds[:-1]), text(open_), (two * IDS + first[open_]) * IDS + ids[open_], p[open_], q[open_], text(at), key
 
 
 # --- whole tables ---
@@ -486,13 +552,38 @@ def counted(codes: DataFrame, opens: np.ndarray) -> DataFrame:
     return rows.groupBy("what", "key").agg(F.sum("n").alias("c"))
 
 
-def most_frequent(counts: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and counts of all that occur 2**k times or more, for the least k that keeps them under the bound."""
+def most_frequent(counts: DataFrame, bound: int) -> tuple[np.ndarray, ...]:
+    """Keys in order and counts, and what else there is by key, of all that occur 2**k times or more, for the least k that keeps them under the bound."""
     tails = counts.agg(*[F.count_if(F.col("c") >= 2**k).alias(str(k)) for k in range(48)]).first()
     k = next(k for k in range(48) if (tails[str(k)] or 0) <= bound)
-    key, c = (x.to_numpy() for x in counts.where(F.col("c") >= 2**k).select("key", "c").toArrow().columns)
-    order = np.argsort(key)
-    return key[order], c[order]
+    more = [c for c in counts.columns if c not in ("what", "key", "c")]
+    found = [x.to_numpy() for x in counts.where(F.col("c") >= 2**k).select("key", "c", *more).toArrow().columns]
+    order = np.argsort(found[0])
+    return tuple(x[order] for x in found)
+
+
+def contexts(counts: DataFrame) -> DataFrame:
+    """key, c of all pairs, with total and kinds: how many triples begin with the pair, and how many different ones."""
+    first = counts.where(F.col("what") == TRIPLE).groupBy(F.expr(f"key div {IDS}").alias("key")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+    return counts.where(F.col("what") == PAIR).select("key", "c").join(first, "key", "left").fillna(0, ["total", "kinds"])
+
+
+def sums_of(pairs: DataFrame, opens: np.ndarray) -> list[np.ndarray]:
+    """``followed`` over all pairs."""
+
+    def make(frames):
+        for pdf in frames:
+            total, kinds, begun = followed(pdf["key"].to_numpy(), pdf["c"].to_numpy(), opens)
+            at = np.flatnonzero(kinds)
+            yield pd.DataFrame({"id": at, "total": total[at], "kinds": kinds[at], "begun": begun[at]})
+
+    names = ["total", "kinds", "begun"]
+    rows = pairs.select("key", "c").mapInPandas(make, "id long, total long, kinds long, begun long")
+    found = rows.groupBy("id").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    out = [np.zeros(IDS) for _ in names]
+    for x, name in zip(out, names):
+        x[found["id"].to_numpy()] = found[name].to_numpy()
+    return out
 
 
 def averaged(codes: DataFrame, p: dict[str, np.ndarray], E: np.ndarray, kind: np.ndarray, shards: int) -> dict[str, np.ndarray]:
@@ -518,18 +609,22 @@ def averaged(codes: DataFrame, p: dict[str, np.ndarray], E: np.ndarray, kind: np
     return out
 
 
-def learned(codes: DataFrame, counts: DataFrame, opens: np.ndarray, words: int, fit: int) -> dict:
-    """The model's tables from all training rows. words: how many words these have."""
+def learned(codes: DataFrame, counts: DataFrame, pairs: DataFrame, opens: np.ndarray, words: int, fit: int) -> dict:
+    """The model's tables from all training rows. pairs: of ``contexts``; words: how many words these have."""
     key, c = most_frequent(counts.where(F.col("what") == ID), IDS)
     count = np.zeros(IDS, np.int64)
     count[key] = c
-    pairs, triples = (most_frequent(counts.where(F.col("what") == what), KEPT) for what in (PAIR, TRIPLE))
-    seen, x = neighbours(count, *pairs)
+    top = np.argsort(-count, kind="stable")[:FREQUENT].tolist()
+    near = pairs.where((F.col("key") % IDS).isin(top) | F.expr(f"key div {IDS}").isin(top))  # at most 2 * FREQUENT an id
+    seen, x = neighbours(count, *[x.to_numpy() for x in near.select("key", "c").toArrow().columns])
     kind, E = classes(seen, x, count), vectors(seen, x, count)
+    triples = counts.where(F.col("what") == TRIPLE)
+    hot = [most_frequent(x, KEPT) for x in (pairs, triples)]
+    memory = Memory(*[Counts(*x) for x in hot], opens, sums_of(pairs, opens), tuple(len(x[0]) == all_.count() for x, all_ in zip(hot, (pairs, triples))))
     few = codes.where("train").select("rid", "ids").orderBy("rid", "ids").limit(fit).collect() if fit else []
     ids, bounds = unpacked([bytes(r["ids"]) for r in few], np.uint16)
     p = fitted(start(), E, kind, ids.astype(np.int64), bounds)
-    return tables(averaged(codes, p, E, kind, words // SHARD_WORDS + 1), E, kind, count, Memory(Counts(*pairs), Counts(*triples), opens))
+    return tables(averaged(codes, p, E, kind, words // SHARD_WORDS + 1), E, kind, count, memory)
 
 
 def found(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -558,7 +653,8 @@ def _score(docs: DataFrame, fit: int, vocabulary: str) -> DataFrame:
     words = counts.where(F.col("what") == WORD).select("key", "c")
     N, V = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = context.broadcast(most_frequent(words, HOT))
-    model = context.broadcast(learned(codes, counts, opens, N, fit))
+    pairs = materialise(contexts(counts), "lm-pairs")
+    model = context.broadcast(learned(codes, counts, pairs, opens, N, fit))
 
     def make(frames):
         names, c = hot.value
@@ -575,21 +671,49 @@ def _score(docs: DataFrame, fit: int, vocabulary: str) -> DataFrame:
             out["hot_known"] = total(np.where(rare, 0, n))
             own = n * value[at]
             out["hot_sum"] = [own[a:b].sum() for a, b in zip(wb[:-1], wb[1:])]
-            out["score"] = scores(model.value, ids.astype(np.int64), bounds) / np.log(10)
+            out["score"], text, *waiting, asking, keys = parts(model.value, ids.astype(np.int64), bounds)
+            cuts = np.searchsorted(text, np.arange(len(bounds)))
+            for name, x in zip(("code", "p", "q"), waiting):
+                out[name] = [x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            order = np.lexsort((keys, asking))
+            asking, keys = asking[order], keys[order]
+            new = np.concatenate([[True], (asking[1:] != asking[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)]
+            asking, keys = asking[new], keys[new]
+            cuts = np.searchsorted(asking, np.arange(len(bounds)))
+            out["asks"] = [keys[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
             out["rare"] = [h[a:b][r] for a, b, r in ((a, b, rare[a:b]) for a, b in zip(wb[:-1], wb[1:]))]
             out["times"] = [n[a:b][r] for a, b, r in ((a, b, rare[a:b]) for a, b in zip(wb[:-1], wb[1:]))]
             yield out
 
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("row long, train boolean, n_tokens long, hot_known long, hot_sum double, score double, rare array<long>, times array<long>")])
+    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("row long, train boolean, n_tokens long, hot_known long, hot_sum double, score double, code binary, p binary, q binary, asks array<long>, rare array<long>, times array<long>")])
     scored = materialise(codes.select("doc_id", "row", "train", "ids", "h", "n").mapInPandas(make, schema), "lm-scored")
     discard(codes)
     base = lambda c: F.log10((c + 0.5) / (N + 0.5 * (V + 1)))
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("n"))
     rare = rare.join(words, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * base(F.col("c"))).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
+    rare = materialise(rare, "lm-rare")
+    triples = counts.where(F.col("what") == TRIPLE).select((-1 - F.col("key")).alias("key"), "c", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("kinds"))
+    met = scored.select("row", F.explode("asks").alias("key")).join(pairs.unionByName(triples), "key")
+    met = met.groupBy("row").agg(F.collect_list(F.struct("key", "c", "total", "kinds")).alias("met"))
     ends = words.where(F.col("key") == int(END_WORD)).agg(F.coalesce(F.max("c"), F.lit(0)).alias("ends")).first()["ends"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.drop("rare", "times").join(rare, "row", "left").select(
+    whole = scored.drop("rare", "times", "asks").join(rare, "row", "left").join(met, "row", "left")
+    kept = [c for c in whole.columns if c not in ("row", "code", "p", "q", "met")]
+
+    def settle(batches):
+        memory = model.value["memory"]
+        for batch in batches:
+            code, bounds = unpacked(batch["code"].to_pylist(), np.int64)
+            p, q = (unpacked(batch[x].to_pylist(), np.float32)[0] for x in "pq")
+            key, c, total, kinds = (x.to_numpy() for x in batch["met"].flatten().flatten())
+            key, at = np.unique(key, return_index=True)
+            log = np.log(memory.settled(p, q, code, key, c[at], total[at], kinds[at]).astype(np.float64))
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            score = (batch["score"].to_numpy() + np.bincount(text, log, len(bounds) - 1)) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(score) if x == "score" else batch[x] for x in kept], kept)
+
+    return whole.mapInArrow(settle, whole.select(*kept).schema).select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
         "n_tokens",

@@ -346,6 +346,16 @@ def test_rare_words_meet_their_counts(spark, corpus, monkeypatch):
     assert few == all_
 
 
+def test_rare_pairs_and_triples_meet_their_counts(spark, corpus, monkeypatch):
+    """Whatever is sent to all executors, every pair and triple counts."""
+    docs = frame(spark, [*corpus, *["antidisestablishmentarianism unquestionableness", "counterrevolutionaries"] * 3])
+    scored = lambda: {r["doc_id"]: r["score"] for r in lm.score(docs, fit=5).collect()}
+    all_ = scored()
+    for kept in (0, 300):
+        monkeypatch.setattr(lm, "KEPT", kept)
+        assert scored() == pytest.approx(all_, rel=1e-6)
+
+
 def test_each_token_is_scored_once():
     for n in (1, 2, 15, 16, 17, 24, 25, 100):
         bounds = np.array([0, n, n + 3])
