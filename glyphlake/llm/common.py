@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,17 +94,19 @@ def fresh(df: DataFrame, name: str) -> str:
 HEAVY = 1 << 16  # keys that are sent to all tasks, at most
 
 
-def matched(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner", most: int | None = None) -> DataFrame:
+def matched(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how: str = "inner", most: int | None = None, floor: int = 0) -> DataFrame:
     """rows joined with ``table``, which has one row a key and in ``weight`` how many rows hold the key.
 
     The heaviest keys, all of at least 2**k rows for the least k that leaves at most ``most``
     (HEAVY) of them, are sent to all tasks; rows of the others meet in a shuffle, where no key is
     heavy. Both are read several times, so they should be written. how: inner, or left, which
     keeps rows whose key isn't in ``table``; these should be few for each key.
+    floor: k is at least that. Where keys of under 2**floor rows are always there, small tables and
+    large ones take the same joins, and the rows that these make grow as the input does.
     """
     most = HEAVY if most is None else most
     tails = table.agg(*[F.count_if(F.col(weight) >= 2**k).alias(str(k)) for k in range(48)]).first()
-    k = next(k for k in range(48) if (tails[str(k)] or 0) <= most)
+    k = next(k for k in range(floor, 48) if (tails[str(k)] or 0) <= most)
     heavy = F.broadcast(table.where(F.col(weight) >= 2**k).drop(weight))
     if k == 0:
         return rows.join(heavy, on, how)
@@ -113,6 +116,39 @@ def matched(rows: DataFrame, table: DataFrame, on: list[str], weight: str, how:
     return marked.where("__own is not null").select(*rows.columns, *[F.col(f"__own.{c}").alias(c) for c in rest]).unionByName(light)
 
 
+WORDS = 1 << 22  # words of 64 bits that tell keys, at most
+
+
+def key_bits(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each 64-bit hash, and the two bits, or the one, that it sets there."""
+    h, one, low = h.view(np.uint64), np.uint64(1), np.uint64(63)
+    return (h >> np.uint64(12)) % np.uint64(words), one << (h & low) | one << (h >> np.uint64(6) & low)
+
+
+def possible(rows: DataFrame, table: DataFrame, h: str) -> DataFrame:
+    """rows, written, without most of those whose 64-bit hash ``h`` isn't in ``table``; none that is in it is lost.
+
+    The table's hashes set bits (a Bloom filter of one word a key, 16 bits a key or more until
+    WORDS are too few), which are sent to all tasks. The table is read twice, rows once.
+    """
+    words = min(WORDS, table.count() // 4 + 1)
+    bit = lambda x: F.expr(f"shiftleft(1L, cast({x} & 63 as int))")
+    word = F.pmod(F.shiftrightunsigned(h, 12), F.lit(words)).alias("word")
+    held = table.groupBy(word).agg(F.bit_or(bit(f"`{h}`").bitwiseOR(bit(f"shiftright(`{h}`, 6)"))).alias("bits")).toArrow()
+    filled = np.zeros(words, np.uint64)
+    filled[held["word"].to_numpy()] = held["bits"].to_numpy().view(np.uint64)
+    sent = rows.sparkSession.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series) -> pd.Series:
+        at, bits = key_bits(x.to_numpy(np.int64), len(sent.value))
+        return pd.Series(sent.value[at] & bits == bits)
+
+    out = materialise(rows.where(may(h)), "possible")
+    sent.destroy()
+    return out
+
+
 def level(h: Column) -> Column:
     """A whole number from 0 to 64 that never falls as the 64-bit hash h grows; each level holds about twice the hashes of the one below."""
     return F.floor(F.log2(F.greatest(h.cast("double") + 2.0**63, F.lit(1.0)))).cast("int")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, byte_buffer, discard, matched, materialise, mix64, powers, word_hashes
+from .common import batches, byte_buffer, discard, matched, materialise, mix64, possible, powers, word_hashes
 
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 INVERSE = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in BASE)
@@ -191,8 +191,10 @@ def one_pass(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     rows = materialise(rows, "repeat-rows")
     buckets = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("whole").alias("a"), F.max("whole").alias("b"))
     buckets = materialise(buckets.where("c > 1").select("h", "c", (F.col("a") == F.col("b")).alias("same")), "repeat-buckets")
-    hit = materialise(matched(rows, buckets, ["h"], "c"), "repeat-hits")
+    near = possible(rows, buckets, "h")
     discard(rows)
+    hit = materialise(matched(near, buckets, ["h"], "c", floor=2), "repeat-hits")
+    discard(near)
     mixed = hit.where("not same")
     kinds = mixed.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "lo", "n", "off")).alias("one"))
     kinds = materialise(kinds, "repeat-kinds")
